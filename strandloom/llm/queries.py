@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
+from .packing import pack_documents
 from .substring_dedup import substring_dedup
+from .tokenfile import read_token_files, write_token_files
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_substring_dedup(spark, sf_dir):
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=20).drop("kept_text")
 
 
+def op5_packing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, window=2048, with_ids=False)
+
+
+def op8_token_files(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_token_files(write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2), with_ids=False)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
