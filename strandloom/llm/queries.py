@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import pii
 from .packing import pack_documents
 from .substring_dedup import substring_dedup
 from .tokenfile import read_token_files, write_token_files
+from .toxicity import held_out, toxicity_score, train_toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -17,6 +21,14 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=20).drop("kept_text")
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id")))
+    model = train_toxicity(docs.filter(~held_out(F.col("doc_id"))), labels)
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity_score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_packing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, window=2048, with_ids=False)
@@ -27,6 +39,19 @@ def op8_token_files(spark, sf_dir):
     return read_token_files(write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2), with_ids=False)
 
 
+def op10_pii(spark, sf_dir):
+    found = pii.find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+    def count(kind):
+        return F.size(F.filter("pii", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    base = F.filter("pii", lambda s: s.kind.isin(*pii.BASE))
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
