@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from . import pii
 from .packing import pack_documents
+from .sharding import histogram_shards
 from .substring_dedup import substring_dedup
 from .tokenfile import read_token_files, write_token_files
 from .toxicity import held_out, toxicity_score, train_toxicity
+from .warc import read_warc, resolve_revisits, write_warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,6 +36,16 @@ def op5_packing(spark, sf_dir):
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, window=2048, with_ids=False)
 
 
+def op6_warc(spark, sf_dir):
+    manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), minimum=100)
+    return resolve_revisits(read_warc(manifest)).drop("url")
+
+
+def op7_sharding(spark, sf_dir):
+    shards = histogram_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=16)
+    return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op8_token_files(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return read_token_files(write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2), with_ids=False)
