@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import pii
+from .ngram_join import ngram_jaccard
 from .packing import pack_documents
 from .sharding import histogram_shards
 from .substring_dedup import substring_dedup
@@ -51,6 +52,10 @@ def op8_token_files(spark, sf_dir):
     return read_token_files(write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2), with_ids=False)
 
 
+def op9_ngram_join(spark, sf_dir):
+    return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100)
+
+
 def op10_pii(spark, sf_dir):
     found = pii.find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
