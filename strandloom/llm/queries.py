@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import pii
+from .ann import nearest_neighbours
+from .decontaminate import find_leaks
 from .ngram_join import ngram_jaccard
 from .packing import pack_documents
 from .sharding import histogram_shards
@@ -24,6 +26,15 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=20).drop("kept_text")
 
 
+def op2_nearest_neighbours(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest_neighbours(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op3_decontamination(spark, sf_dir):
+    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id")))
