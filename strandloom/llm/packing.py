@@ -154,7 +154,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
     def pack(batches):
         coder = encoder(tokenizer, end_id)
         packer = Packer(window, TaskContext.get().partitionId() << 36, block_tokens)
-        for batch in slices(batches):
+        for batch in slices(batches, size=8 << 20):
             ids, bounds = coder.encode(batch.column("text"))
             found = []
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):

@@ -107,7 +107,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     def write(batches):
         part, out, name = TaskContext.get().partitionId(), None, None
         coder = encoder(tokenizer, end_id)
-        for batch in slices(batches):
+        for batch in slices(batches, size=8 << 20):
             if out is None:
                 name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok"
                 out = Writer(name, percentile)
