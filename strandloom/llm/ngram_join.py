@@ -4,10 +4,14 @@ A document's set holds its different shingles of `n` lower-cased words. Two docu
 percent_den * |A and B| >= percent_num * |A or B|. Documents with equal sets are one class from the start.
 
 Routing. Two linked sets of at most m shingles differ in at most k = floor((1 - t) / (1 + t) * 2 m) shingles. The
-shingles' hash space is cut into k + 1 cells, so linked sets agree in all shingles of some cell. Each class is written
-once per cell of its size group (and of the next group, if a partner may be there) under the hash of the cell's
-shingles, and the classes under one such key are tied to the first of them: linear in the input, also where a third
-of all documents share a key. Connected ties give groups that hold every link, and few other documents.
+shingles' hash space is cut into more than k cells, so linked sets agree in all shingles of all but k cells. A set is
+written once per cell under the hash of the cell's shingles, in its size group (and in the next, if a partner may be there); the
+cells that hold the fewest shingles are left out, as many as leave one to agree in. The classes under one key are
+tied to the first of them: linear in the input, also where a third of all documents share a key. Connected ties give
+groups that hold every link, and few other documents.
+Shingles of passages that many documents share would tie those. Postings are counted over all documents in 2 ** COUNTERS
+counters; shingles whose counter stands out of the mean don't take part in the cells, which loses no link, for sets
+without them differ no more. Sets that are nearly all common shingles go by their whole sets besides.
 
 Search. In a group, inverted lists of all shingles are built. A set of size s needs T common shingles with a partner;
 its T - 1 longest lists (DivideSkip's long lists) are left out of the merge, the short ones are merged (by a heap, or a
@@ -20,12 +24,14 @@ Links between classes, membership and components go through tables in the shared
 
 Cases: documents without words or text have an empty set and are alone. With fewer than n words the whole sequence is the
 one shingle. Rows that repeat a doc_id count each by their text; the id then gets the smallest component of its rows. Equal texts
-share a class. An empty table gives no rows. Other columns are ignored.
+share a class. An empty table gives no rows.
+Rows with a null doc_id get their class's component, or null. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from math import floor
 
 import numpy as np
@@ -36,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, remove, written
 from .text import Words, mix, slices, utf8, windows
 
+COUNTERS, SEGMENTS, FAN = 22, 64, 16  # counters of postings (a power of two), parts they are summed in, tasks of the first step
 GROWTH = 1.5  # largest size of a group of sizes over its smallest
 CLASSED = "doc_id long, lo long, hi long, n_shingles int, keys array<long>"
 
@@ -76,30 +83,86 @@ def shingle_sets(column: pa.Array, n: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def cell_keys(a: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A key for each cell of the size groups that a set of ascending hashes takes part in."""
+def cell_keys(a: np.ndarray, common: np.ndarray | None, num: int, den: int) -> np.ndarray:
+    """Keys of the cells that a set of ascending hashes is routed by; common: which of them are common, None: none."""
     size = len(a)
     own = int(np.searchsorted(BOUNDS, size))
     groups = [own]
     if size * den >= (int(BOUNDS[own]) + 1) * num:  # a partner may be in the next group
         groups.append(own + 1)
+    rare = a if common is None else a[~common]
     out = []
     for group in groups:
-        cells = difference(int(BOUNDS[group]), num, den) + 1
-        cell = ((a >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
-        total = np.zeros(cells, np.uint64)
-        np.add.at(total, cell.astype(np.int64), mix(a + np.uint64(0x51ED270B)))
-        out.append(mix(total + mix(np.arange(cells, dtype=np.uint64) + np.uint64((group + 1) << 40))))
+        k = difference(int(BOUNDS[group]), num, den)
+        cells = k + 1 + -(-(k + 1) // 4)
+        keys, filled, least = _cells(rare, cells, k, 2 * group)
+        out.append(keys[filled >= max(1, least)])
+        if not least and len(rare) < size:  # nearly all is common: also by the whole set, where only such sets meet
+            keys, filled, least = _cells(a, cells, k, 2 * group + 1)
+            out.append(keys[filled >= least])
+        elif not least:
+            out.append(keys[filled == 0])
     return np.concatenate(out)
 
 
-def _classed(batches, n, num, den):
+def _cells(a: np.ndarray, cells: int, k: int, salt: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of each cell a key and its number of shingles, and the largest c such that cells of fewer than c shingles are no more than cells - k - 1."""
+    cell = (((a >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
+    total = np.zeros(cells, np.uint64)
+    np.add.at(total, cell, mix(a + np.uint64(0x51ED270B)))
+    filled = np.bincount(cell, minlength=cells)
+    return mix(total + mix(np.arange(cells, dtype=np.uint64) + np.uint64((salt + 1) << 40))), filled, int(np.sort(filled)[cells - k - 1])
+
+
+def _counted(batches, n):
+    """Postings per counter of the texts of a task, as compressed segments."""
+    counts = np.zeros(1 << COUNTERS, np.uint32)
+    for batch in slices(batches):
+        sets = [a for a, _ in shingle_sets(batch.column("text"), n)]
+        if sets:
+            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS).astype(np.uint32)
+    parts = [zlib.compress(part.tobytes(), 1) for part in counts.reshape(SEGMENTS, -1)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array(parts, pa.binary())], ["segment", "counts"])
+
+
+def common_counters(texts: DataFrame, n: int) -> np.ndarray:
+    """Bitmap of the counters (leading bits of a shingle's hash) that stand out of the mean over all documents: a fixed 2 ** COUNTERS bits."""
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << COUNTERS) // SEGMENTS, np.uint64)
+        for part in table.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(part), np.uint32)
+        return pa.table({"segment": table.column("segment")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    kind = "segment int, counts binary"
+    # Two steps, so that no task adds up more than a part of the tasks' counts.
+    parts = texts.select("text").mapInArrow(lambda it: _counted(it, n), kind).withColumn("some", F.expr(f"cast(pmod(xxhash64(counts), {FAN}) as int)"))
+    first = parts.groupBy("segment", "some").applyInArrow(_narrowed, kind)
+    rows = first.groupBy("segment").applyInArrow(add, kind).collect()
+    total = np.zeros((SEGMENTS, (1 << COUNTERS) // SEGMENTS), np.uint64)
+    for row in rows:
+        total[row["segment"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
+    mean = total.mean()
+    return np.packbits(total.reshape(-1) > mean + 8 * np.sqrt(mean) + 24)
+
+
+def _narrowed(table: pa.Table) -> pa.Table:
+    total = np.zeros((1 << COUNTERS) // SEGMENTS, np.uint32)
+    for part in table.column("counts").to_pylist():
+        total = np.minimum(total.astype(np.uint64) + np.frombuffer(zlib.decompress(part), np.uint32), 0xFFFFFFFF).astype(np.uint32)
+    return pa.table({"segment": table.column("segment")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def _classed(batches, n, num, den, bitmap):
+    """Rows of CLASSED; only the first row of a class in a task has keys, which spares copies the shuffle."""
+    seen, bits = set(), np.unpackbits(bitmap).astype(bool)
     for batch in slices(batches):
         rows = []
         for a, b in shingle_sets(batch.column("text"), n):
             if len(a):
                 lo, hi = int(mix(np.array([a.sum()]))[0]), int(mix(np.array([b.sum() + np.uint64(len(b))]))[0])
-                rows.append((lo - (1 << 64) if lo >> 63 else lo, hi - (1 << 64) if hi >> 63 else hi, len(a), cell_keys(a, num, den).view(np.int64)))
+                keys = np.zeros(0, np.uint64) if (lo, hi) in seen else cell_keys(a, bits[(a >> np.uint64(64 - COUNTERS)).astype(np.int64)], num, den)
+                seen.add((lo, hi))
+                rows.append((lo - (1 << 64) if lo >> 63 else lo, hi - (1 << 64) if hi >> 63 else hi, len(a), keys.view(np.int64)))
             else:
                 rows.append((0, 0, 0, np.zeros(0, np.int64)))
         lo, hi, size, keys = zip(*rows)
@@ -200,13 +263,14 @@ def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bl
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classed = written(texts.mapInArrow(lambda it: _classed(it, n, num, den), CLASSED), "join-classes")
+    bitmap = common_counters(texts, n)
+    classed = written(texts.mapInArrow(lambda it: _classed(it, n, num, den, bitmap), CLASSED), "join-classes")
     some = classed.filter("n_shingles > 0")
     firsts = written(some.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "join-firsts")
 
     # Ties: under each key, from every class to the least; equal sets share lo and fall together.
-    tied = some.select(F.explode("keys").alias("key"), "lo").groupBy("key", "lo").agg(F.lit(1).alias("one"))
-    least = tied.groupBy("key").agg(F.min("lo").alias("least"), F.count("one").alias("classes")).filter("classes > 1")
+    tied = some.select(F.explode("keys").alias("key"), "lo").repartition("key")  # the one exchange of keys; aggregation and join below reuse it
+    least = tied.groupBy("key").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).filter("least < most").select("key", "least")
     ties = tied.join(least, "key").filter("lo <> least").select(F.col("lo").alias("src"), F.col("least").alias("dst")).distinct()
     groups = connected_components(ties, "join-groups").select(F.col("node").alias("lo"), F.col("root").alias("grp"))
 
