@@ -151,5 +151,6 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """records with each revisit's payload_bytes from the response it refers to; a revisit without one of the same digest keeps null."""
     originals = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("original_bytes"))
-    joined = records.join(originals, ["refers_to", "payload_digest"], "left")
+    # Spark takes what is read from a short manifest for small; the hint keeps originals from being broadcast.
+    joined = records.join(originals.hint("merge"), ["refers_to", "payload_digest"], "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "original_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url")
