@@ -141,15 +141,18 @@ class Packer:
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, with_ids: bool = True, block_tokens: int = 1 << 21) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids."""
     names = NAMES + ["ids"] * with_ids
-    types = [pa.int64()] * len(NAMES) + [pa.list_(pa.int64())]
-
     def rows(pieces):
-        out = [[] for _ in names]
+        out = [[] for _ in NAMES]
+        parts = []
         for doc_id, start, ids, total, sequence, offset in pieces:
-            values = (doc_id, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), total, sequence, offset)
-            for column, value in zip(out, values + (ids.astype(np.int64),) * with_ids):
+            for column, value in zip(out, (doc_id, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), total, sequence, offset)):
                 column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+            parts.append(ids)
+        columns = [pa.array(c, pa.int64()) for c in out]
+        if with_ids:
+            ends = np.cumsum([0, *map(len, parts)])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def pack(batches):
         coder = encoder(tokenizer, end_id)
@@ -162,5 +165,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
             yield rows(found)
         yield rows(packer.flush())
 
-    schema = ", ".join(f"{name} long" for name in NAMES) + ", ids array<long>" * with_ids
+    schema = ", ".join(f"{name} long" for name in NAMES) + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, schema)
