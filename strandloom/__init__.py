@@ -1,0 +1 @@
+"""A PySpark engine for phasing, imputation and ancestry on haplotype panels."""
