@@ -27,7 +27,7 @@ def expanded(segments: DataFrame, haplotypes: DataFrame) -> DataFrame:
 def segment_at(points: DataFrame, segments: DataFrame) -> DataFrame:
     """As-of join: each point (sample_idx, strand, variant_idx) with the label of the last segment that starts at or before it."""
     marks = segments.select("sample_idx", "strand", F.col("start").alias("variant_idx"), F.lit(0).alias("kind"), "hap_label")
-    asks = points.select("sample_idx", "strand", "variant_idx", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("hap_label"))
+    asks = points.select("sample_idx", "strand", "variant_idx", F.lit(1).alias("kind"), F.lit(None).cast(segments.schema["hap_label"].dataType).alias("hap_label"))
     order = Window.partitionBy("sample_idx", "strand").orderBy("variant_idx", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return marks.unionByName(asks).withColumn("hap_label", F.last("hap_label", ignorenulls=True).over(order)).filter("kind = 1").drop("kind")
 

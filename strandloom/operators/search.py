@@ -70,7 +70,9 @@ def pair_search(
             rows.append((sample, key[0], rep[j], rep[k], score))
         return pd.DataFrame(rows, columns=["sample_idx", "window", "hap1", "hap2", "score"])
 
-    return blocked.groupBy("window", "block").cogroup(panel.groupBy("window", "block")).applyInPandas(run, FOUND)
+    # Both sides come from one plan, so the panel's keys get names of their own.
+    panel = panel.withColumns({"panel_window": F.col("window") + 0, "panel_block": F.col("block") + 0}).drop("window", "block")
+    return blocked.groupBy("window", "block").cogroup(panel.groupBy("panel_window", "panel_block")).applyInPandas(run, FOUND)
 
 
 def window_weights(windows: DataFrame, typed: DataFrame, weighted: DataFrame) -> DataFrame:
@@ -98,11 +100,10 @@ def observed_errors(pairs: DataFrame, vectors: DataFrame, unique: DataFrame) ->
 def flanking_screen(best: DataFrame, vectors: DataFrame, unique: DataFrame) -> DataFrame:
     """Replace a window's pair by the previous or next window's where that has a strictly lower observed error; ties keep own, then previous."""
     order = Window.partitionBy("sample_idx").orderBy("window")
-    tries = best.select("sample_idx", "window", F.explode(F.array(
-        F.struct(F.lit(0).alias("turn"), "hap1", "hap2"),
-        F.struct(F.lit(1).alias("turn"), F.lag("hap1").over(order).alias("hap1"), F.lag("hap2").over(order).alias("hap2")),
-        F.struct(F.lit(2).alias("turn"), F.lead("hap1").over(order).alias("hap1"), F.lead("hap2").over(order).alias("hap2")),
-    )).alias("t")).select("sample_idx", "window", "t.turn", "t.hap1", "t.hap2").filter("hap1 is not null")
+    near = best.withColumns({f"{side}{n}": f(f"hap{n}").over(order) for side, f in (("before", F.lag), ("after", F.lead)) for n in (1, 2)})
+    turns = [("hap1", "hap2"), ("before1", "before2"), ("after1", "after2")]
+    tries = near.select("sample_idx", "window", F.explode(F.array(*[F.struct(F.lit(turn).alias("turn"), F.col(a).alias("hap1"), F.col(b).alias("hap2")) for turn, (a, b) in enumerate(turns)])).alias("t"))
+    tries = tries.select("sample_idx", "window", "t.turn", "t.hap1", "t.hap2").filter("hap1 is not null")
     errors = observed_errors(tries.select("sample_idx", "window", "hap1", "hap2").distinct(), vectors, unique)
     scored = tries.join(errors, ["sample_idx", "window", "hap1", "hap2"])
     pick = scored.groupBy("sample_idx", "window").agg(F.min_by(F.struct("hap1", "hap2", "error"), F.struct("error", "turn")).alias("p"))

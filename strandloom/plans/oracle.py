@@ -43,26 +43,17 @@ KINDS = {"i": "CAST({0} AS BIGINT)", "f": "round(CAST({0} AS DOUBLE), 6)", "s":
 
 def sql(body: str, columns: str) -> str:
     """body with the expressions it names, its columns cast: "name:kind ..." of kinds i (integer), f (rounded double), s, b."""
-    names, todo = [], [body]
-    while todo:
-        text = todo.pop()
-        for name in CTE:
-            if re.search(rf"(?<![\w.]){name}(?![\w(])", text):
-                if name in names:
-                    names.remove(name)
-                names.insert(0, name)
-                todo.append(CTE[name])
     ordered: list[str] = []
+    entered: set[str] = set()
 
-    def put(name: str) -> None:
-        for other in CTE:
-            if other != name and re.search(rf"(?<![\w.]){other}(?![\w(])", CTE[name]):
-                put(other)
-        if name not in ordered:
-            ordered.append(name)
+    def put(text: str) -> None:
+        for name in CTE:
+            if name not in entered and re.search(rf"(?<![\w.]){name}(?![\w(])", text):
+                entered.add(name)
+                put(CTE[name])
+                ordered.append(name)
 
-    for name in names:
-        put(name)
+    put(body)
     with_ = ", ".join(f"{name} AS MATERIALIZED ({CTE[name]})" for name in ordered)
     pairs = [c.split(":") for c in columns.split()]
     out = ", ".join(f'{KINDS[kind].format(chr(34) + name + chr(34))} AS "{name}"' for name, kind in pairs)
