@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import written
+from strandloom.llm.common import bitmap, may_be_in, written
 from strandloom.llm.decontaminate import without_leaks
 from strandloom.llm.ngram_join import ngram_jaccard
 from strandloom.llm.packing import pack_documents
@@ -27,9 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles of similarity 0.8 or more, the document of the smallest doc_id. Rows without a doc_id stay."""
-    groups = ngram_jaccard(docs, n=5, num=80, den=100)
+    groups = written(ngram_jaccard(docs, n=5, num=80, den=100), "pipeline-groups")
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).union(docs.filter("doc_id is null"))
+    # Most documents are alone; only those that may be a later member of a group are looked up, so the others' texts aren't shuffled.
+    later = may_be_in(F.col("doc_id"), bitmap(groups.filter("doc_id <> component_id"), "doc_id"))
+    asked = docs.withColumn("_asked", F.col("doc_id").isNotNull() & later)
+    some = asked.filter("_asked").drop("_asked").join(kept, "doc_id", "left_semi").select(docs.columns)
+    return asked.filter("not _asked").drop("_asked").union(some)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
