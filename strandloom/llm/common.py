@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
@@ -18,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let Arrow batches between Spark and Python hold ROWS rows, which bounds what a task buffers of long texts; operators join them as they need."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    return df
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
@@ -39,6 +49,33 @@ def remove(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BITS = 24
+
+
+def _place(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << BITS)).cast("int")
+
+
+def bitmap(ids: DataFrame, name: str) -> np.ndarray:
+    """Which of 2 ** BITS places the ids hash to: a fixed 2 MB, whatever their number."""
+    words = ids.select(_place(F.col(name)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, at & 63))").alias("bits"))
+    table = words.toArrow()  # 2 ** (BITS - 6) rows at most
+    out = np.zeros(1 << BITS - 6, np.int64)
+    out[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return out
+
+
+def may_be_in(column: Column, found: np.ndarray) -> Column:
+    """Whether a value may be among the ids of a bitmap: never false for one that is. Spares others a shuffle; a full bitmap spares none, and loses none."""
+
+    @F.arrow_udf("boolean")
+    def look(at: pa.Array) -> pa.Array:
+        at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((found[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return look(_place(column))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

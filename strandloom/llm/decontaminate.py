@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .text import Words, mix, slices, utf8, windows
 
 RADIUS, BLOCKS = 20, 8
@@ -159,7 +160,7 @@ def _column(text: Column, benchmark: Benchmark) -> Column:
 
 
 def benchmark_slices(benchmark: DataFrame, n: int, least: float, slice_bytes: int):
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    rows = small_batches(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     slices_ = max(1, -(-total // slice_bytes))
     for number in range(slices_):

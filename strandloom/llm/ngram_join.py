@@ -39,12 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, remove, written
+from .common import bitmap as id_bitmap
+from .common import connected_components, may_be_in, small_batches, written
 from .text import Words, mix, slices, utf8, windows
 
 COUNTERS, SEGMENTS, FAN = 22, 64, 16  # counters of postings (a power of two), parts they are summed in, tasks of the first step
 GROWTH = 1.5  # largest size of a group of sizes over its smallest
-CLASSED = "doc_id long, lo long, hi long, n_shingles int, keys array<long>"
+CLASSED = "doc_id long, lo long, hi long, n_shingles int"
 
 
 def difference(size: int, num: int, den: int) -> int:
@@ -142,7 +143,7 @@ def common_counters(texts: DataFrame, n: int) -> np.ndarray:
     for row in rows:
         total[row["segment"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
     mean = total.mean()
-    return np.packbits(total.reshape(-1) > mean + 8 * np.sqrt(mean) + 24)
+    return np.packbits(total.reshape(-1) > mean + 4 * np.sqrt(mean) + 4)
 
 
 def _narrowed(table: pa.Table) -> pa.Table:
@@ -152,24 +153,35 @@ def _narrowed(table: pa.Table) -> pa.Table:
     return pa.table({"segment": table.column("segment")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def _classed(batches, n, num, den, bitmap):
-    """Rows of CLASSED; only the first row of a class in a task has keys, which spares copies the shuffle."""
+def _signed(x: np.uint64) -> int:
+    return int(x) - (1 << 64) if int(x) >> 63 else int(x)
+
+
+def _class_of(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    return _signed(mix(np.array([a.sum()]))[0]), _signed(mix(np.array([b.sum() + np.uint64(len(b))]))[0])
+
+
+def _classed(batches, n):
+    for batch in slices(batches):
+        rows = [(*_class_of(a, b), len(a)) if len(a) else (0, 0, 0) for a, b in shingle_sets(batch.column("text"), n)]
+        lo, hi, size = zip(*rows)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(size, pa.int32())], ["doc_id", "lo", "hi", "n_shingles"])
+
+
+def _keyed(batches, n, num, den, bitmap):
+    """(key, lo) of each class in a task, once however many copies it has there."""
     seen, bits = set(), np.unpackbits(bitmap).astype(bool)
     for batch in slices(batches):
-        rows = []
+        keys, owners = [], []
         for a, b in shingle_sets(batch.column("text"), n):
-            if len(a):
-                lo, hi = int(mix(np.array([a.sum()]))[0]), int(mix(np.array([b.sum() + np.uint64(len(b))]))[0])
-                keys = np.zeros(0, np.uint64) if (lo, hi) in seen else cell_keys(a, bits[(a >> np.uint64(64 - COUNTERS)).astype(np.int64)], num, den)
-                seen.add((lo, hi))
-                rows.append((lo - (1 << 64) if lo >> 63 else lo, hi - (1 << 64) if hi >> 63 else hi, len(a), keys.view(np.int64)))
-            else:
-                rows.append((0, 0, 0, np.zeros(0, np.int64)))
-        lo, hi, size, keys = zip(*rows)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(size, pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))],
-            ["doc_id", "lo", "hi", "n_shingles", "keys"],
-        )
+            if len(a) and (made := _class_of(a, b)) not in seen:
+                seen.add(made)
+                found = cell_keys(a, bits[(a >> np.uint64(64 - COUNTERS)).astype(np.int64)], num, den)
+                keys.append(found)
+                owners.append(np.full(len(found), made[0]))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "lo"])
 
 
 def t_occurrence(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -259,17 +271,16 @@ def _searched(batches, num, den):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["src", "dst"])
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block: int = 1_000_000) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block: int = 600_000) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bitmap = common_counters(texts, n)
-    classed = written(texts.mapInArrow(lambda it: _classed(it, n, num, den, bitmap), CLASSED), "join-classes")
+    classed = written(texts.mapInArrow(lambda it: _classed(it, n), CLASSED), "join-classes")
     some = classed.filter("n_shingles > 0")
     firsts = written(some.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "join-firsts")
 
     # Ties: under each key, from every class to the least; equal sets share lo and fall together.
-    tied = some.select(F.explode("keys").alias("key"), "lo").repartition("key")  # the one exchange of keys; aggregation and join below reuse it
+    tied = texts.mapInArrow(lambda it: _keyed(it, n, num, den, bitmap), "key long, lo long").repartition("key")  # the one exchange of keys; aggregation and join below reuse it
     least = tied.groupBy("key").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).filter("least < most").select("key", "least")
     ties = tied.join(least, "key").filter("lo <> least").select(F.col("lo").alias("src"), F.col("least").alias("dst")).distinct()
     groups = connected_components(ties, "join-groups").select(F.col("node").alias("lo"), F.col("root").alias("grp"))
@@ -278,23 +289,23 @@ def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bl
     members = firsts.join(groups, "lo")
     load = members.groupBy("grp").agg(F.sum("n_shingles").alias("load"))
     placed = members.join(load, "grp").withColumn("blocks", F.ceil(F.col("load") / block).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    placed = placed.select(F.col("rep").alias("doc_id"), "grp", "block", "blocks", "lo", "hi")
+    placed = written(placed.select(F.col("rep").alias("doc_id"), "grp", "block", "blocks", "lo"), "join-placed")
+    searched = texts.filter(may_be_in(F.col("doc_id"), id_bitmap(placed, "doc_id")))  # most documents are in no group and needn't be shuffled
 
     def shingled(batches):
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), n)
-            lo = [int(mix(np.array([a.sum()]))[0]) if len(a) else None for a, _ in sets]
-            same = [x is not None and (x - (1 << 64) if x >> 63 else x) == y for x, y in zip(lo, batch.column("lo").to_pylist())]  # of rows that repeat a doc_id, the class's own
+            same = [len(a) > 0 and _class_of(a, b)[0] == lo for (a, b), lo in zip(sets, batch.column("lo").to_pylist())]  # of rows that repeat a doc_id, the class's own
             blobs = [a.tobytes() for a, _ in sets]
             made = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grp"), batch.column("block"), batch.column("blocks"), pa.array(blobs, pa.binary())], ["doc_id", "grp", "block", "blocks", "shingles"])
             yield made.filter(pa.array(same))
 
-    sets = texts.join(placed, "doc_id").mapInArrow(shingled, "doc_id long, grp long, block int, blocks int, shingles binary")
+    sets = searched.join(placed, "doc_id").mapInArrow(shingled, "doc_id long, grp long, block int, blocks int, shingles binary")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("grp", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "doc_id", "shingles")
     dealt = pairs.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b")
     links = dealt.mapInArrow(lambda it: _searched(it, num, den), "src long, dst long")
     roots = connected_components(links, "join-links").select(F.col("node").alias("rep"), "root")
     known = firsts.join(roots, "rep", "left").select("lo", "hi", F.coalesce("root", "rep").alias("component_id"))
-    out = classed.drop("keys").join(known, ["lo", "hi"], "left")
+    out = classed.join(known, ["lo", "hi"], "left")
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

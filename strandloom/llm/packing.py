@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .text import slices
 from .tokens import encoder
 
@@ -166,4 +167,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
         yield rows(packer.flush())
 
     schema = ", ".join(f"{name} long" for name in NAMES) + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, schema)

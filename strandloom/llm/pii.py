@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "url", "iban", "account"]
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -147,10 +149,10 @@ def pii_redacted(text: Column) -> Column:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, pii: its spans in the order of kinds, then starts."""
-    return docs.select("doc_id", pii_spans(F.col("text")).alias("pii"))
+    return small_batches(docs).select("doc_id", pii_spans(F.col("text")).alias("pii"))
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
     """docs with text (and n_chars, if there) after redaction; all other columns and rows as they are."""
-    out = docs.withColumn("text", pii_redacted(F.col("text")))
+    out = small_batches(docs).withColumn("text", pii_redacted(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

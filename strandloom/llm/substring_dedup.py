@@ -15,8 +15,8 @@ documents is one row per map task.
 
 Cases: null or wordless texts have no words and keep nothing. Shorter texts than a window keep all words.
 Exact copies of an earlier text are removed whole (from `width` words on). Rows that repeat a doc_id count
-as one document: they never make each other's windows repeats, unless by an earlier start. Other columns
-are passed through; a clash of names with the result's columns is resolved in favour of the result's.
+as one document: they never make each other's windows repeats, unless by an earlier start; rows without a
+doc_id are one document behind all others. Other columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .text import Words, mix, slices, sliding, utf8, windows
 
+LAST = (1 << 63) - 1  # stands for a null doc_id
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
@@ -148,7 +150,7 @@ def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_words, n_removed, kept_text, kept_sha256, one row per row of docs."""
     if width < 2:
         raise ValueError("width must be 2 or more")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     halves = texts.mapInArrow(lambda it: _half_windows(it, width), "h long, doc_id long, times int")
     single = halves.groupBy("h").agg(F.sum("times").alias("times"), F.min("doc_id").alias("doc_id")).filter("times = 1").select("doc_id", "h", F.lit(False).alias("is_first"))
     body = F.coalesce("text", F.lit(""))
@@ -157,4 +159,4 @@ def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
     marked = texts.join(known, "doc_id", "left").select("doc_id", "text", "single", F.coalesce("is_first", F.lit(False)).alias("is_first"))
     full = marked.mapInArrow(lambda it: _full_windows(it, width), "a long, b long, doc_id long, start int")
     starts = full.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start")).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    return marked.join(starts, "doc_id", "left").mapInArrow(lambda it: _removed(it, width), RESULT)
+    return marked.join(starts, "doc_id", "left").mapInArrow(lambda it: _removed(it, width), RESULT).withColumn("doc_id", F.expr(f"nullif(doc_id, {LAST}L)"))

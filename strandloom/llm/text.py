@@ -49,17 +49,28 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about size bytes of text; a longer text is a batch of its own."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about size bytes of text, short batches joined and long ones cut; a longer text is a batch of its own."""
+    held, weight = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        at = batch.schema.get_field_index(column)
-        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-        part = (np.cumsum(lengths) - lengths) // size
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:]):
-            yield batch.slice(lo, hi - lo)
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+        lo = 0
+        for hi, length in enumerate(lengths.tolist(), 1):
+            weight += length
+            if weight >= size:
+                held.append(batch.slice(lo, hi - lo))
+                yield _joined(held)
+                held, weight, lo = [], 0, hi
+        if lo < batch.num_rows:
+            held.append(batch.slice(lo))
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
 class Words:

@@ -5,7 +5,7 @@ counts. Documents are dealt out by ranges of doc_id; each task writes one file u
 shared folder and reports it in a manifest that Spark commits, so files of lost or repeated attempts never count.
 
 Cases: a null or empty text has the end id alone. An empty table makes no ids. Rows that repeat a doc_id are
-documents of their own, in the order of their texts' hashes. Other columns are ignored.
+documents of their own, in the order of their texts' hashes; null doc_ids come first. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import fresh_path, written
+from .common import fresh_path, small_batches, written
 from .text import slices
 from .tokens import encoder
 
 MAGIC = b"SLTOK01\n"
 TAIL = struct.Struct("<QQQQ8s")  # documents, ids, blocks, first byte of the document index, magic
+LEAST = -(1 << 63)  # stands for a null doc_id in files
 MANIFEST = "part int, path string, documents long, ids long"
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("ids", "<i8")])
 
@@ -117,7 +118,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             documents, ids = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([documents], pa.int64()), pa.array([ids], pa.int64())], ["part", "path", "documents", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return written(dealt.mapInArrow(write, MANIFEST), "token-manifest")
 
@@ -135,7 +136,7 @@ def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
                 rows, held = [], 0
                 for doc_id, start, ids in read_documents(path):
-                    row = [doc_id, base + start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())]
+                    row = [None if doc_id == LEAST else doc_id, base + start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())]
                     rows.append(row + [ids.astype(np.int64)] * with_ids)
                     held += len(ids) if with_ids else 1
                     if held > 1 << 20 or len(rows) >= 8192:

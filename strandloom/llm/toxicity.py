@@ -3,17 +3,16 @@
 Training sees confirmed toxic texts (P) and texts without a label (U); labelled clean texts serve only to
 estimate the class prior. With logistic loss l, prior p and scores f, the risk is
     p * mean_P l(f) + max(0, mean_U l(-f) - p * mean_P l(-f)),
-where the clipped part keeps a flexible model from driving the estimate of the clean class's risk below zero
-(when it is negative, its gradient is reversed).
+where the clipped part keeps a flexible model from driving the estimate of the clean class's risk below zero.
 
-Features say whether a word, or a beginning of 4, 5 or 6 bytes, occurs in a text (lower-cased A-Z); so the length
-of a text doesn't matter. They are hashed to 2 ** BITS; the `features` most telling ones by a G statistic are kept.
+Features say whether a word (without punctuation behind it), or a longer word with a beginning of 4 to 8 bytes, occurs
+in a text (lower-cased A-Z); so the length of a text doesn't matter. They are hashed to 2 ** BITS; the `features` most telling ones by a G statistic are kept.
 
 The sample is bounded: at most `positives` toxic and `unlabelled` other texts, least by hash of doc_id. Its counts
 are summed in the cluster, and the driver gets `features` counts and the sample's bits of them. Scoring covers
 every text and needs no shuffle.
 
-Cases: null and empty texts get the score of the bias alone. Without toxic labels all scores are 0. Labels that
+Cases: null and empty texts get the score of the bias alone. Without toxic labels all scores are 0 but for rounding. Labels that
 are null are ignored, of several for one document the highest counts. If every document is labelled, U is
 drawn from all of them, without their labels.
 """
@@ -28,16 +27,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .text import Words, hash_words, mix, slices, utf8
 
 BITS = 20
-PREFIXES = (4, 5, 6)
-#: Least p * log(share of P / share of U) of a feature; double that is about chi-squared, so chance ones among a million are rare.
-GAIN = 8.0
+PREFIXES = (4, 5, 6, 7, 8)
+#: Least log-likelihood gain p * log(p / e) - (p - e) of a feature seen p times in P where e were expected; chance exceeds it about once in exp(GAIN).
+GAIN = 10.0
 
 
 def word_features(words: pa.Array) -> np.ndarray:
     """Of each different word its features, one column for each kind; -1: none."""
+    bare = pc.utf8_rtrim(words.cast(pa.large_string()), characters=".,;:!?").cast(pa.large_binary())
+    words = pc.if_else(pc.equal(pc.binary_length(bare), 0), words, bare)
     whole = hash_words(words)[0]
     out = np.full((len(words), 1 + len(PREFIXES)), -1, np.int64)
     out[:, 0] = (whole >> np.uint64(64 - BITS)).astype(np.int64)
@@ -84,40 +86,44 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def fit_nnpu(row: np.ndarray, column: np.ndarray, positive: np.ndarray, prior: float, n: int, rounds: int = 600, rate: float = 0.1, decay: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias for the bits (row, column) of len(positive) texts; positive: which texts are in P, the rest are U."""
+def fit_nnpu(row: np.ndarray, column: np.ndarray, positive: np.ndarray, prior: float, n: int, rounds: int = 500, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias for the bits (row, column) of len(positive) texts; positive: which texts are in P, the rest are U.
+
+    The bias stays at the prior's log-odds or below, so a text without telling features is never toxic.
+    Gradient steps on the clipped risk plus decay / 2 * |w|^2; of all steps the one of least value counts.
+    """
     w, b = np.zeros(n), np.log(prior / (1 - prior))
-    first, second, state = np.zeros(n + 1), np.zeros(n + 1), 0
+    first, second = np.zeros(n + 1), np.zeros(n + 1)
     p, u = positive, ~positive
     n_p, n_u = max(1, p.sum()), max(1, u.sum())
+    least, best, top = np.inf, (w, b), b
     for step in range(1, rounds + 1):
         f = np.bincount(row, w[column], len(p)) + b
         s = 1 / (1 + np.exp(-np.clip(f, -60, 60)))
         clean = np.logaddexp(0, f)  # l(-f)
-        negative_risk = clean[u].sum() / n_u - prior * clean[p].sum() / n_p
-        d = np.zeros(len(p))
-        d_clean = np.where(p, -prior / n_p, 1 / n_u) * s
-        if negative_risk >= 0:
-            d[p] = prior / n_p * (s[p] - 1)
-            d += d_clean
-        else:
-            d -= d_clean
+        clean_risk = clean[u].sum() / n_u - prior * clean[p].sum() / n_p
+        value = prior * np.logaddexp(0, -f[p]).sum() / n_p + max(0.0, clean_risk) + decay / 2 * (w @ w)
+        if value < least:
+            least, best = value, (w, b)
+        d = np.where(p, prior / n_p * (s - 1), 0.0)
+        if clean_risk > 0:
+            d += np.where(p, -prior / n_p, 1 / n_u) * s
         g = np.append(np.bincount(column, d[row], n) + decay * w, d.sum())
-        state += 1
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
-        move = rate * (first / (1 - 0.9**state)) / (np.sqrt(second / (1 - 0.999**state)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+        move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+        w, b = w - move[:-1], min(b - move[-1], top)
+    return best[0], float(best[1])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000, features: int = 4096) -> Model:
-    """docs (doc_id, text, ...), labels (doc_id, toxic, ...) that may be learnt from."""
+def train_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000, features: int = 4096, caution: float = 0.9) -> Model:
+    """docs (doc_id, text, ...), labels (doc_id, toxic, ...) that may be learnt from; the prior is the toxic share of the labels times caution, which spares clean texts."""
+    small_batches(docs)
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = marks.agg(F.count(F.lit(1)), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0))).first()
     if not toxic:
         return Model(np.zeros(0, np.int64), np.zeros(0), -1000.0)
-    prior = min(max(toxic / n, 1e-3), 0.9)
+    prior = min(max(caution * toxic / n, 1e-3), 0.9)
     order = F.xxhash64("doc_id")
     p_ids = marks.filter("toxic > 0").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(True).alias("in_p"))
     ids = docs.select("doc_id").filter("doc_id is not null")
@@ -130,7 +136,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 6000, un
     def counts(batches):
         seen = np.zeros((2, 1 << BITS), np.int64)
         texts = np.zeros(2, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, size=1 << 20):
             row, feature = text_features(batch.column("text"))
             kind = batch.column("in_p").to_numpy(zero_copy_only=False).astype(np.int64)
             texts += np.bincount(kind, minlength=2)
@@ -148,9 +154,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 6000, un
     if not n_p or not n_u:
         counted.unpersist()
         return Model(np.zeros(0, np.int64), np.zeros(0), -1000.0)
-    share_p, share_u = F.col("p") / n_p, (F.col("u") + 0.5) / (n_u + 1)
-    gain = F.col("p") * F.log(F.greatest(share_p, F.lit(1e-12)) / share_u)
-    top = counted.filter("feature >= 0 and p >= 3").filter((share_p > 2 * share_u) & (gain > GAIN)).orderBy(gain.desc(), "feature").limit(features).collect()
+    p, expected = F.col("p"), n_p * (F.col("u") + 0.5) / (n_u + 1)
+    gain = p * F.log(p / expected) - (p - expected)
+    top = counted.filter("feature >= 0 and p >= 3").filter((p > expected) & (gain > GAIN)).orderBy(gain.desc(), "feature").limit(features).collect()
     counted.unpersist()
     kept = np.array(sorted(r["feature"] for r in top), np.int64)
     if not len(kept):
@@ -159,7 +165,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 6000, un
     wanted[kept] = True
 
     def bits(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, size=1 << 20):
             row, feature = text_features(batch.column("text"), wanted)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.searchsorted(kept, feature), pa.int32()))

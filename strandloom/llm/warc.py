@@ -25,7 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_or_empty, written
+from .common import fresh_path, small_batches, text_or_empty, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long, bytes long"
@@ -92,7 +92,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, minimum: int = 100,
     system, base = pafs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
     body = text_or_empty("html")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"), (F.octet_length(body) >= minimum).alias("long_enough"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"), (F.octet_length(body) >= minimum).alias("long_enough"))
     originals = rows.filter("long_enough").groupBy("digest").agg(F.min("page_id").alias("original"), F.min_by("url", "page_id").alias("original_url"), F.lit(True).alias("long_enough"))
     decided = rows.join(originals, ["digest", "long_enough"], "left")
 
