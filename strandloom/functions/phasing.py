@@ -120,18 +120,21 @@ def pair_error(a: tuple[int, int], b: tuple[int, int]) -> int:
 
 def connect_pairs(windows: list[list[tuple[int, int]]], penalty: float = 1.0) -> tuple[float, list[tuple[int, int]]]:
     """Least total pair_error of one pair per window, and its path; the first of equal choices."""
-    best: list[list[float]] = [[0.0] * len(windows[-1])]
-    step: list[list[int]] = []
-    for pairs, after in zip(windows[-2::-1], windows[:0:-1]):
-        costs = [[penalty * pair_error(p, q) + c for q, c in zip(after, best[0])] for p in pairs]
-        step.insert(0, [row.index(min(row)) for row in costs])
-        best.insert(0, [min(row) for row in costs])
-    at = best[0].index(min(best[0]))
+    arrays = [np.array(pairs) for pairs in windows]
+    least = np.zeros(len(windows[-1]))
+    step: list[np.ndarray] = []
+    for p, q in zip(arrays[-2::-1], arrays[:0:-1]):
+        a, b, c, d = p[:, :1], p[:, 1:], q[:, 0], q[:, 1]
+        changes = np.minimum((a != c).astype(np.int8) + (b != d), (a != d).astype(np.int8) + (b != c))
+        costs = penalty * changes.astype(float) ** 2 + least
+        step.insert(0, costs.argmin(axis=1))
+        least = costs.min(axis=1)
+    at = int(least.argmin())
     path = [windows[0][at]]
     for w, nxt in enumerate(step):
-        at = nxt[at]
+        at = int(nxt[at])
         path.append(windows[w + 1][at])
-    return min(best[0]), path
+    return float(least.min()), path
 
 
 def fewest_flips(x: list, y: list) -> int:

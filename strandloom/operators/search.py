@@ -115,6 +115,6 @@ def redundant_pairs(best: DataFrame, members: DataFrame, limit: int = 1000) -> D
     m = members.select("window", "rep", "members")
     both = best.join(m.select("window", F.col("rep").alias("hap1"), F.col("members").alias("m1")), ["window", "hap1"])
     both = both.join(m.select("window", F.col("rep").alias("hap2"), F.col("members").alias("m2")), ["window", "hap2"])
-    pairs = F.flatten(F.transform(F.slice("m1", 1, limit), lambda a: F.transform(F.slice("m2", 1, limit), lambda b: F.struct(a.alias("h1"), b.alias("h2")))))
+    pairs = F.flatten(F.transform(F.slice("m1", F.lit(1), F.ceil(limit / F.size("m2")).cast("int")), lambda a: F.transform(F.slice("m2", 1, limit), lambda b: F.struct(a.alias("h1"), b.alias("h2")))))
     rows = both.select("sample_idx", "window", F.posexplode(F.slice(pairs, 1, limit)).alias("n", "p"))
     return rows.select("sample_idx", "window", (F.col("n") + 1).alias("pair_no"), "p.h1", "p.h2")

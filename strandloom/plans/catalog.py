@@ -330,7 +330,7 @@ query("mosaic_by_window", "sample_idx:i strand:i seg_no:i start:i window:i hap_l
 
 @query("dp_connect", "sample_idx:i window:i hap1:i hap2:i best_err:f")
 def _(x):
-    return phasing.connect_pairs(search.redundant_pairs(x.best(), x.members(), limit=20).withColumnsRenamed({"h1": "hap1", "h2": "hap2"}))
+    return phasing.connect_pairs(search.redundant_pairs(x.best(), x.members()).withColumnsRenamed({"h1": "hap1", "h2": "hap2"}))
 
 
 @query("survivor_overlap", "sample_idx:i window:i n1:i n2:i crossed:i", "SELECT b.sample_idx, b.win AS \"window\", len(list_intersect(p.members, pp.members)) AS n1, len(list_intersect(q.members, qq.members)) AS n2, len(list_intersect(p.members, qq.members)) + len(list_intersect(q.members, pp.members)) AS crossed FROM best b JOIN best a ON a.sample_idx = b.sample_idx AND a.win = b.win - 1 JOIN mem p ON p.win = a.win AND p.rep = a.hap1 JOIN mem q ON q.win = a.win AND q.rep = a.hap2 JOIN mem pp ON pp.win = b.win AND pp.rep = b.hap1 JOIN mem qq ON qq.win = b.win AND qq.rep = b.hap2")

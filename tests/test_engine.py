@@ -177,3 +177,33 @@ def test_search_stream(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 80
+
+
+def test_connected_path_over_all_pairs(spark, tmp_path):
+    import itertools
+
+    from strandloom.functions.phasing import pair_error
+
+    # 44 haplotypes, all different on the typed variants of a window but in windows 2 and 5, where six or seven are equal.
+    rng = np.random.default_rng(11)
+    codes = [rng.permutation(44) % (7 if w in (1, 4) else 44) for w in range(8)]
+    bits = np.zeros((44, 64), int)
+    for w, code in enumerate(codes):
+        for n, i in enumerate(i for i in range(8) if i % 4 != 3):
+            bits[:, 8 * w + i] = code >> n & 1
+    rows = [(v, (b * 2.0 - 1).tolist(), "0") for v, b in enumerate(bits)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = catalog.Fixture(spark, str(tmp_path))
+    members = {(r["window"], r["rep"]): r["members"] for r in x.members().collect()}
+    pairs = {}
+    for r in x.best().collect():
+        pairs.setdefault(r["sample_idx"], {})[r["window"]] = list(itertools.product(members[r["window"], r["hap1"]], members[r["window"], r["hap2"]]))
+    assert max(len(p) for of in pairs.values() for p in of.values()) > 20
+    found = {}
+    for r in catalog.queries()["dp_connect"](spark, str(tmp_path)).collect():
+        found.setdefault(r["sample_idx"], {})[r["window"]] = (r["hap1"], r["hap2"], r["best_err"])
+    cost = lambda path: sum(map(pair_error, path, path[1:]))
+    assert found.keys() == pairs.keys() and len(found) == 10
+    for sample, of in pairs.items():
+        best = min(itertools.product(*(of[w] for w in sorted(of))), key=cost)
+        assert [found[sample][w] for w in sorted(of)] == [(*p, cost(best)) for p in best]
