@@ -38,7 +38,7 @@ def _bgen(spark: SparkSession, path: str):
     rows = spark.read.format("bgen").load(path)
     keys = rows.filter("sample_idx = 1").select("chrom", "pos", "ids", "ref", "alts")
     variants = keys.withColumn("variant_idx", F.row_number().over(Window.orderBy("chrom", "pos", "ref")))
-    samples = rows.select("sample_idx").distinct().withColumn("sample_id", F.format_string("sample_%d", "sample_idx"))
+    samples = spark.createDataFrame(list(enumerate(bgen.sample_names(path), 1)), "sample_idx int, sample_id string")
     return variants, samples, rows.join(variants.select("chrom", "pos", "ref", "variant_idx"), ["chrom", "pos", "ref"])
 
 

@@ -11,10 +11,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "chrom string, pos long, ids array<string>, ref string, alts array<string>, phased boolean, sample_idx int, ds float, a1 int, a2 int"
 
 
-def _open(path: str):
+def _at(path: str):
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _open(path: str):
+    system, name = _at(path)
     return system.open_input_file(name)
 
 
@@ -39,6 +43,22 @@ def header(f) -> dict:
     return {"first": offset + 4, "variants": variants, "samples": samples, "zlib": flags & 3 == 1, "names": names}
 
 
+def sample_names(path: str) -> list[str]:
+    """Names in the file's order: of a .sample file beside it, else its own, else sample_1 and so on."""
+    with _open(path) as f:
+        info = header(f)
+    system, beside = _at(path.removesuffix(".bgen") + ".sample")
+    if system.get_file_info(beside).is_file:
+        with system.open_input_file(beside) as f:
+            lines = [line.split() for line in f.read().decode().splitlines() if line.strip()]
+        column = 1 if lines and {"ID_1", "ID_2"} <= set(lines[0]) else 0  # ID_1 is the family then
+        names = [line[column] for line in lines[2:]]  # behind the line of column names and that of their kinds
+        if len(names) != info["samples"]:
+            raise ValueError(f"{beside} names {len(names)} samples, {path} has {info['samples']}")
+        return names
+    return info["names"] or [f"sample_{s}" for s in range(1, info["samples"] + 1)]
+
+
 def variant(f, compressed: bool, skip: bool = False):
     """The variant at the file's place: names and alleles, and its probability block unless skipped."""
     names = [f.read(_number(f, "H")).decode() for _ in range(3)]
@@ -119,11 +139,13 @@ class BgenSource(DataSource):
         return BgenReader(self.options["path"], int(self.options.get("variants_per_part", 1024)))
 
 
-def write_bgen(path: str, variants: list[tuple], bits: int = 8) -> None:
+def write_bgen(path: str, variants: list[tuple], bits: int = 8, names: list[str] | None = None) -> None:
     """variants: (chrom, pos, id, ref, alt, phased, n x 2 probabilities with NaN rows where missing); a small writer for exchange and tests."""
     n = len(variants[0][6])
     with open(path, "wb") as f:
-        f.write(struct.pack("<IIII4sI", 20, 20, len(variants), n, b"bgen", 1 | 2 << 2))
+        listed = b"".join(struct.pack("<H", len(name.encode())) + name.encode() for name in names or [])
+        samples = struct.pack("<II", 8 + len(listed), n) + listed if names else b""
+        f.write(struct.pack("<IIII4sI", 20 + len(samples), 20, len(variants), n, b"bgen", 1 | 2 << 2 | bool(names) << 31) + samples)
         for chrom, pos, name, ref, alt, phased, p in variants:
             p = np.asarray(p, float)
             lost = np.isnan(p).any(axis=1)

@@ -207,3 +207,29 @@ def test_connected_path_over_all_pairs(spark, tmp_path):
     for sample, of in pairs.items():
         best = min(itertools.product(*(of[w] for w in sorted(of))), key=cost)
         assert [found[sample][w] for w in sorted(of)] == [(*p, cost(best)) for p in best]
+
+
+def test_bgen_sample_names(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    hap = rng.integers(0, 2, (6, 24))[rng.integers(0, 6, 20)]
+    ref, tgt, where, out = (str(tmp_path / name) for name in ("ref.bgen", "t.bgen", "panel", "out.vcf"))
+    fixed = lambda i: ("1", 100 + i, f"rs{i}", "A", "C")
+    bgen.write_bgen(ref, [(*fixed(i), True, 1.0 - hap[:, i].reshape(10, 2)) for i in range(24)], names=[f"r{s}" for s in range(10)])
+    g = hap[[0, 2, 4]] + hap[[7, 9, 11]]
+    target = [(*fixed(i), False, np.stack([g[:, i] == 0, g[:, i] == 1], 1).astype(float)) for i in range(24) if i % 3 != 2]
+    names = lambda: [r["sample_id"] for r in api.import_target(spark, tgt).samples.orderBy("sample_idx").collect()]
+    bgen.write_bgen(tgt, target)
+    assert names() == ["sample_1", "sample_2", "sample_3"]
+    bgen.write_bgen(tgt, target, names=["Ann", "Bö", "C"])
+    assert names() == ["Ann", "Bö", "C"]
+    api.compress_haplotypes(spark, ref, tgt, where, d=6)
+    result = api.phase(spark, tgt, where, ref, out)
+    assert vcf.Vcf(spark, out).sample_ids == ["Ann", "Bö", "C"]
+    assert [r["sampleID"] for r in spark.read.csv(str(tmp_path / "out.sample.error"), header=True).collect()] == ["Ann", "Bö", "C"]
+    pops = spark.createDataFrame([(f"r{s}", "EUR" if s % 2 else "AFR") for s in range(10)], "sample_id string, population string")
+    assert all(r["AFR"] + r["EUR"] == pytest.approx(1) for r in api.admixture_global(result, store.load_panel(spark, where), pops, ["AFR", "EUR"]).collect())
+    (tmp_path / "t.sample").write_text("ID_1 ID_2 missing\n0 0 0\nf1 x 0\nf1 y 0\nf2 z 0\n")
+    assert names() == ["x", "y", "z"]
+    (tmp_path / "t.sample").write_text("ID sex\n0 D\nx 1\n")
+    with pytest.raises(ValueError, match="samples"):
+        names()
