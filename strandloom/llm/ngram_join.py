@@ -11,7 +11,7 @@ tied to the first of them: linear in the input, also where a third of all docume
 groups that hold every link, and few other documents.
 Shingles of passages that many documents share would tie those. Postings are counted over all documents in 2 ** COUNTERS
 counters; shingles whose counter stands out of the mean don't take part in the cells, which loses no link, for sets
-without them differ no more. Sets that are nearly all common shingles go by their whole sets besides.
+without them differ no more. Sets whose rare shingles leave too many cells empty go by their whole sets besides.
 
 Search. In a group, inverted lists of all shingles are built. A set of size s needs T common shingles with a partner;
 its T - 1 longest lists (DivideSkip's long lists) are left out of the merge, the short ones are merged (by a heap, or a
@@ -98,11 +98,9 @@ def cell_keys(a: np.ndarray, common: np.ndarray | None, num: int, den: int) -> n
         cells = k + 1 + -(-(k + 1) // 4)
         keys, filled, least = _cells(rare, cells, k, 2 * group)
         out.append(keys[filled >= max(1, least)])
-        if not least and len(rare) < size:  # nearly all is common: also by the whole set, where only such sets meet
+        if not least:  # few rare shingles: also by the whole set, with or without common ones, for two such sets may agree in empty cells alone
             keys, filled, least = _cells(a, cells, k, 2 * group + 1)
             out.append(keys[filled >= least])
-        elif not least:
-            out.append(keys[filled == 0])
     return np.concatenate(out)
 
 

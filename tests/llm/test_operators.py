@@ -338,3 +338,16 @@ def test_pii_base_against_patterns():
 def test_query_names():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+
+
+def test_small_sets_meet_with_and_without_common_shingles():
+    from strandloom.llm.ngram_join import cell_keys
+
+    # All rare shingles fall into one cell, in which the sets differ; one set also has a common shingle. They share 8 of 10.
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        plain = np.sort(rng.integers(0, 1 << 61, 9, dtype=np.uint64))
+        other = np.append(np.delete(plain, rng.integers(9)), rng.integers(1 << 62, 1 << 63, dtype=np.uint64))
+        common = np.arange(9) == 8
+        assert set(cell_keys(plain, np.zeros(9, bool), 80, 100)) & set(cell_keys(other, common, 80, 100))
+        assert set(cell_keys(plain, None, 80, 100)) & set(cell_keys(np.delete(plain, 4), None, 80, 100))
