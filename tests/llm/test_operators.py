@@ -351,3 +351,24 @@ def test_small_sets_meet_with_and_without_common_shingles():
         common = np.arange(9) == 8
         assert set(cell_keys(plain, np.zeros(9, bool), 80, 100)) & set(cell_keys(other, common, 80, 100))
         assert set(cell_keys(plain, None, 80, 100)) & set(cell_keys(np.delete(plain, 4), None, 80, 100))
+
+
+def test_leaks_with_repeated_shingles():
+    import pyarrow as pa
+
+    from strandloom.llm.decontaminate import Benchmark, fingerprints
+
+    # A run of 17 equal words of 200 is another word in the document: 175 of 217 shingles are common.
+    rng = random.Random(4)
+    items, texts = [], []
+    for i in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(183)]
+        before, after = words[:90], words[90:]
+        items.append((i, " ".join([*before, *["so"] * 17, *after])))
+        texts.append(" ".join(["lead", "in", *before, *["um"] * 17, *after, "end"]))
+    found = Benchmark(items, 5, 0.8).matches(pa.array(texts))
+    assert [[(m["item_id"], m["start"]) for m in f] for f in found] == [[(i, 2)] for i in range(30)]
+    assert all(f[0]["similarity"] == pytest.approx(175 / 217) for f in found)
+    some = np.random.default_rng(1).integers(0, 5, 60).astype(np.uint64)
+    for size in (1, 7, 60):
+        assert (fingerprints(some, size) == np.concatenate([fingerprints(some[at : at + size], size) for at in range(61 - size)])).all()
