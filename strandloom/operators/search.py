@@ -33,12 +33,13 @@ def window_vectors(filled: DataFrame, windows: DataFrame, typed: DataFrame) -> D
 
 
 def pair_search(
-    vectors: DataFrame, unique: DataFrame, strategy: str = "global", weights: DataFrame | None = None, r: int = 1, keep: int = 20, max_haplotypes: int = 800, sample_block: int = 1024
+    vectors: DataFrame, unique: DataFrame, strategy: str = "global", weights: DataFrame | None = None, r: int = 1, keep: int = 20, max_haplotypes: int = 800, sample_block: int = 1024,
+    rescreen: bool = False,
 ) -> DataFrame:
     """(sample_idx, window, hap1, hap2, score) with complete haplotype indices.
 
     vectors: window_vectors; unique: unique haplotypes on typed variants. strategy: global, rescreen, stepwise, thinning or auto (the
-    screening strategies apply beyond max_haplotypes unique haplotypes; smaller windows are searched globally).
+    screening strategies apply beyond max_haplotypes unique haplotypes; smaller windows are searched globally, or with rescreen by that strategy).
     Windows and blocks of samples are the unit of work: a group holds at most d haplotypes and sample_block samples. weights: (window, weights array).
     """
     reps = unique.filter("hap_idx = rep").select("window", "unique_idx", "rep", "bits")
@@ -55,15 +56,18 @@ def pair_search(
         h = np.array([np.frombuffer(b.encode(), np.uint8) - 48 for b in right["bits"]], float)
         rep = right["rep"].to_numpy()
         w = np.asarray(right["weights"].iloc[0], float) if "weights" in right else None
-        m, big = S.sums(h, w), len(h) > max_haplotypes
+        big = len(h) > max_haplotypes
+        screened = strategy in ("stepwise", "thinning") and (big or max_haplotypes == 0)
+        again = not screened and (strategy == "rescreen" or rescreen)
+        m = S.sums(h, None if again else w)  # rescreening takes no weights
         rows = []
         for sample, x, seen in zip(left["sample_idx"], left["x"], left["seen"]):
             x, seen = np.asarray(x, float), np.asarray(seen, bool)
-            if strategy == "stepwise" and (big or max_haplotypes == 0):
+            if screened and strategy == "stepwise":
                 j, k, score = S.stepwise(x, h, m, r)
-            elif strategy == "thinning" and (big or max_haplotypes == 0):
+            elif screened:
                 j, k, score = S.thinned(x, h, keep, w)
-            elif strategy == "rescreen":
+            elif again:
                 j, k, score = S.rescreened(x, h, m, seen)
             else:
                 j, k, score = S.best_pair(x, h, m, w)

@@ -110,7 +110,7 @@ def phase_tables(
     vectors = search.window_vectors(filled, windows, typed)
     weights = search.window_weights(windows, typed, search.allele_weights(tables["frequency"])) if scale_allelefreq else None
     strategy = "stepwise" if stepwise else "thinning" if thinning_factor else "rescreen" if rescreen else "global"
-    best = search.pair_search(vectors, unique, strategy, weights, r=stepwise or 1, keep=thinning_factor or 20, max_haplotypes=max_haplotypes)
+    best = search.pair_search(vectors, unique, strategy, weights, r=stepwise or 1, keep=thinning_factor or 20, max_haplotypes=max_haplotypes, rescreen=rescreen)
     members = panel.window_haps(unique)
     labels = phasing.phase_fold(phasing.with_members(best, members))
     points = phasing.breakpoints(phasing.adjacent(labels, vectors, unique))

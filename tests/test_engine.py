@@ -233,3 +233,35 @@ def test_bgen_sample_names(spark, tmp_path):
     (tmp_path / "t.sample").write_text("ID sex\n0 D\nx 1\n")
     with pytest.raises(ValueError, match="samples"):
         names()
+
+
+def test_rescreen_beside_screening(spark, monkeypatch):
+    x = catalog.Fixture(spark, DATA)
+    vectors, unique = x.vectors().cache(), x.unique().cache()
+    weights = x.spark.range(1, 9).select(F.col("id").cast("int").alias("window"), F.array_repeat(F.lit(3.0), 6).alias("weights"))
+
+    def found(**options) -> dict:
+        from strandloom.operators.search import pair_search
+
+        rows = pair_search(vectors, unique, **options)
+        return {(r["sample_idx"], r["window"]): (r["hap1"], r["hap2"], r["score"]) for r in rows.collect()}
+
+    rescreened = found(strategy="rescreen")
+    assert rescreened != found()
+    for options in ({"strategy": "stepwise"}, {"strategy": "thinning"}, {"strategy": "thinning", "weights": weights}):
+        assert found(**options, rescreen=True) == rescreened
+    assert found(strategy="stepwise", rescreen=True, max_haplotypes=1) == found(strategy="stepwise", max_haplotypes=1)
+    # phase_tables hands both options on.
+    asked = {}
+
+    class Reached(Exception):
+        pass
+
+    def search(*args, **options):
+        asked.update(options, strategy=args[2])
+        raise Reached
+
+    monkeypatch.setattr(api.search, "pair_search", search)
+    with pytest.raises(Reached):
+        api.phase_tables(x.geno(), {"typed": x.typed, "windows": x.windows, "unique_typed": unique}, x.hap, stepwise=2, rescreen=True)
+    assert asked["strategy"] == "stepwise" and asked["rescreen"] is True
