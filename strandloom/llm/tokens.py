@@ -31,7 +31,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end_id, self.limit = end_id, cache
         self.young: dict[bytes, bytes] = {}  # what doesn't come up again while `cache` others do is forgotten
         self.old: dict[bytes, bytes] = {}

@@ -372,3 +372,18 @@ def test_leaks_with_repeated_shingles():
     some = np.random.default_rng(1).integers(0, 5, 60).astype(np.uint64)
     for size in (1, 7, 60):
         assert (fingerprints(some, size) == np.concatenate([fingerprints(some[at : at + size], size) for at in range(61 - size)])).all()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_literal_special_tokens_as_the_library_has_them(name):
+    import pyarrow as pa
+
+    from strandloom.llm.tokens import Encoder
+
+    path, rng = str(public_tokenizers.path(name)), random.Random(1)
+    bits = ["hello", "world", ",", ".", " ", "  ", "\n", "it's", "é", "<|", "|>", "<|endoftext|>", "<|startoftext|>"]
+    some = ["<|endoftext|>", *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 30))) for _ in range(1000))]
+    ids, bounds = Encoder(path).encode(pa.array(some))
+    expected = [e.ids for e in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
+    assert len(expected[0]) == 1
+    assert [ids[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])] == expected
