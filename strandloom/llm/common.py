@@ -10,26 +10,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS = 1000
+ROWS, BATCH_ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests); on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _LOCAL.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="strandloom-")
+        _LOCAL[context.applicationId] = found
     return found.rstrip("/")
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Let Arrow batches between Spark and Python hold ROWS rows, which bounds what a task buffers of long texts; operators join them as they need."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    """Let Arrow batches between Spark and Python hold ROWS rows, which bounds what a task buffers of long texts; operators join them as they need.
+
+    The setting is read when a plan runs, so it stays in the session; one that differs from Spark's default is left alone.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":
+        conf.set(BATCH_ROWS, str(ROWS))
     return df
 
 
+_WRITTEN: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -43,10 +57,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def remove(df: DataFrame) -> None:
     """Delete the files of a table made by written()."""
-    spark, path = df.sparkSession, getattr(df, "_strandloom_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_strandloom_path", None):
+        remove_path(df.sparkSession, path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.discard(path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that operators have left in the shared folder for this application. Results of operators are lazy and read those tables, so write them first."""
+    for path in list(_WRITTEN):
+        remove_path(spark, path)
 
 
 BITS = 24

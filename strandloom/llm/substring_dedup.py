@@ -3,20 +3,21 @@
 A window of `width` words is a repeat if its word sequence also starts earlier: in a document with a
 smaller doc_id, or earlier in the same document. Every word that a repeat covers is removed.
 
-Levels. The first level has windows of width / 2 words. Of each full window only its least half window
-(by hash) is counted, so about one position in six is shuffled; a full window can only repeat if its
-least half window does. Half windows that occur once are sent back to their documents, the rest are
-extended to twice the length, where 128-bit hashes decide. Levels above `width` would only find parts
-of what is already covered, so removal ends there: no candidate that survives could add a word.
-
-Both levels send back what is *first* or *single* and let the document infer the rest. So each level is
+Levels. Lengths double up to `width`, from BASE words at most; for 20 they are 10 and 20, for 100 they are 13, 25, 50 and 100. Of each
+window of the next level only its least part of this level's length (by hash) is counted, and only if that part has survived so far; a longer window
+can only repeat if its least part does. Parts that occur once are sent back to their documents, windows whose least part is
+among them are candidates no more, and the rest are extended to twice the length, until none survive or the length is `width`,
+where 128-bit hashes decide. Levels above `width` would only find parts of what is already covered, so
+doubling ends there: no candidate that survives could add a word.
+
+All levels send back what is *first* or *single* and let the document infer the rest. So each level is
 one aggregation with map-side combining, without a join on window keys: a passage in a third of all
 documents is one row per map task.
 
 Cases: null or wordless texts have no words and keep nothing. Shorter texts than a window keep all words.
-Exact copies of an earlier text are removed whole (from `width` words on). Rows that repeat a doc_id count
-as one document: they never make each other's windows repeats, unless by an earlier start; rows without a
-doc_id are one document behind all others. Other columns are ignored, and an empty table gives no rows.
+Exact copies of an earlier text are removed whole (from `width` words on). Rows that repeat a doc_id with different
+texts are documents of their own, in the order of their texts' hashes; rows equal in doc_id and text are one document and get equal
+results. Rows without a doc_id come behind all others, likewise by their texts' hashes. Other columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,83 +38,106 @@ LAST = (1 << 63) - 1  # stands for a null doc_id
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
+BASE = 15  # most words of the first level's windows
+
+
+def lengths(width: int) -> list[int]:
+    """Words of the windows of each level, each at most twice the one before."""
+    out = [width]
+    while out[0] > BASE or len(out) == 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
 class Level:
-    """The windows of a batch: the least half window of each full window, and which full windows lie in one text."""
+    """The words of a batch and the windows of its levels that may still repeat."""
 
-    def __init__(self, batch: pa.RecordBatch, width: int, kinds: int):
+    def __init__(self, batch: pa.RecordBatch, sizes: list[int], kinds: int):
         data, offsets = utf8(batch.column("text"))
-        self.words = Words(data, offsets)
+        self.words, self.sizes = Words(data, offsets), sizes
         self.hashes = self.words.hashes(kinds)
-        self.half = width // 2
-        n = max(0, len(self.words) - width + 1)
-        text = self.words.text
-        self.valid = text[:n] == text[width - 1 :] if n else np.zeros(0, bool)
-        self.halves = mix(windows(self.hashes[0], self.half))
-        self.least = sliding(self.halves, width - self.half + 1)[:n] if n else np.zeros(0, np.uint64)
-        self.text = text
-
-
-def _half_windows(batches, width):
+        self.text = self.words.text
+
+    def inside(self, size: int) -> np.ndarray:
+        """Of each run of size words, whether it lies in one text."""
+        n = max(0, len(self.words) - size + 1)
+        return self.text[:n] == self.text[size - 1 :] if n else np.zeros(0, bool)
+
+    def least(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of a level's windows, and of each window of the next level its least part."""
+        found = mix(windows(self.hashes[0], self.sizes[level]))
+        span = self.sizes[level + 1] - self.sizes[level] + 1
+        return found, sliding(found, span)[: max(0, len(self.words) - self.sizes[level + 1] + 1)]
+
+    def alive(self, batch: pa.RecordBatch, upto: int) -> np.ndarray:
+        """Of each window of a level, whether it may repeat by what the levels below have sent back; an exact copy's windows needn't be looked at."""
+        first, alive = self.words.first, self.inside(self.sizes[0])
+        if upto:
+            for i in np.flatnonzero(~batch.column("is_first").to_numpy(zero_copy_only=False)):
+                alive[first[i] : first[i + 1]] = False
+        for level in range(upto):
+            found, least = self.least(level)
+            longer, single = self.inside(self.sizes[level + 1]), batch.column(f"single{level}")
+            for i in range(batch.num_rows):
+                lo, hi = first[i], min(first[i + 1], len(longer))
+                if hi <= lo or not longer[lo]:
+                    continue
+                own = found[lo : first[i + 1] - self.sizes[level] + 1]
+                dead = own[~alive[lo : lo + len(own)]]
+                if (values := single[i].values) is not None:
+                    dead = np.concatenate([dead, values.to_numpy(zero_copy_only=False).view(np.uint64)])
+                if len(dead):
+                    dead.sort()
+                    at = np.searchsorted(dead, least[lo:hi])
+                    at[at == len(dead)] = 0
+                    longer[lo:hi] &= dead[at] != least[lo:hi]
+            alive = longer
+        return alive
+
+
+def _keys(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
+    return [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[rows].astype(np.int64)) for c in ("doc_id", "variant")]
+
+
+def _parts(batches, sizes, upto):
+    """Windows of a level that are the least part of a window of the next one, once for a document."""
     for batch in slices(batches):
-        level = Level(batch, width, 1)
-        if not level.valid.any():
+        level = Level(batch, sizes, 1)
+        alive, longer = level.alive(batch, upto), level.inside(sizes[upto + 1])
+        if not longer.any():
             continue
-        least = np.where(level.valid, level.least, np.uint64(0))
-        span = width - level.half + 1
-        padded = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
-        chosen = np.flatnonzero((sliding(padded, span, np.maximum)[: len(level.halves)] == level.halves) & (level.halves != 0))
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        rows = pd.DataFrame({"doc": level.text[chosen], "h": level.halves[chosen]})
-        again = rows.duplicated(keep=False).to_numpy()
-        keep = ~rows.duplicated().to_numpy()
+        found, least = level.least(upto)
+        span = sizes[upto + 1] - sizes[upto] + 1
+        edge = np.zeros(span - 1, np.uint64)
+        wanted = sliding(np.concatenate([edge, np.where(longer, least, np.uint64(0)), edge]), span, np.maximum)[: len(found)]
+        chosen = np.flatnonzero((wanted == found) & (found != 0) & alive)
+        rows = pd.DataFrame({"doc": level.text[chosen], "h": found[chosen]})
+        again, keep = rows.duplicated(keep=False).to_numpy(), ~rows.duplicated().to_numpy()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["h"].to_numpy()[keep].view(np.int64)), pa.array(ids[rows["doc"].to_numpy()[keep]].astype(np.int64)), pa.array((1 + again[keep]).astype(np.int32))],
-            ["h", "doc_id", "times"],
+            [pa.array(rows["h"].to_numpy()[keep].view(np.int64)), *_keys(batch, rows["doc"].to_numpy()[keep]), pa.array((1 + again[keep]).astype(np.int32))], ["h", "doc_id", "variant", "times"]
         )
 
 
-def _candidates(level: Level, batch: pa.RecordBatch) -> np.ndarray:
-    """Of each full window: its text is no exact copy and its least half window isn't single."""
-    out = level.valid.copy()
-    first = level.words.first
-    single, copy = batch.column("single"), batch.column("is_first")
-    for i in range(batch.num_rows):
-        lo, hi = first[i], min(first[i + 1], len(out))
-        if hi <= lo:
-            continue
-        if not copy[i].as_py():
-            out[lo:hi] = False
-            continue
-        values = single[i].values
-        if values is None or not len(values):
-            continue
-        known = np.sort(values.to_numpy(zero_copy_only=False).view(np.uint64))
-        at = np.searchsorted(known, level.least[lo:hi])
-        at[at == len(known)] = 0
-        out[lo:hi] &= known[at] != level.least[lo:hi]
-    return out
-
-
-def _full_windows(batches, width):
+def _full_windows(batches, sizes):
     for batch in slices(batches):
-        level = Level(batch, width, 2)
-        found = np.flatnonzero(_candidates(level, batch))
+        level = Level(batch, sizes, 2)
+        found = np.flatnonzero(level.alive(batch, len(sizes) - 1))
         if not len(found):
             continue
-        a, b = (mix(windows(h, width, kind)[found]) for kind, h in enumerate(level.hashes))
+        a, b = (mix(windows(h, sizes[-1], kind)[found]) for kind, h in enumerate(level.hashes))
         doc = level.text[found]
         keep = ~pd.DataFrame({"d": doc, "a": a, "b": b}).duplicated().to_numpy()
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), pa.array(ids[doc[keep]].astype(np.int64)), pa.array((found - level.words.first[doc])[keep].astype(np.int32))],
-            ["a", "b", "doc_id", "start"],
+            [pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), *_keys(batch, doc[keep]), pa.array((found - level.words.first[doc])[keep].astype(np.int32))],
+            ["a", "b", "doc_id", "variant", "start"],
         )
 
 
-def _removed(batches, width):
+def _removed(batches, sizes):
+    width = sizes[-1]
     for batch in slices(batches):
-        level = Level(batch, width, 1)
-        found, first = _candidates(level, batch), level.words.first
+        level = Level(batch, sizes, 1)
+        found, first = level.alive(batch, len(sizes) - 1), level.words.first
         starts, copy = batch.column("starts"), batch.column("is_first")
         rows = {name: [] for name in ("n_words", "n_removed", "kept_text", "kept_sha256")}
         for i in range(batch.num_rows):
@@ -150,13 +174,22 @@ def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_words, n_removed, kept_text, kept_sha256, one row per row of docs."""
     if width < 2:
         raise ValueError("width must be 2 or more")
-    texts = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    halves = texts.mapInArrow(lambda it: _half_windows(it, width), "h long, doc_id long, times int")
-    single = halves.groupBy("h").agg(F.sum("times").alias("times"), F.min("doc_id").alias("doc_id")).filter("times = 1").select("doc_id", "h", F.lit(False).alias("is_first"))
+    sizes, key = lengths(width), ["doc_id", "variant"]
+    rows = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     body = F.coalesce("text", F.lit(""))
-    firsts = texts.groupBy(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(7), body).alias("b")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(None).cast("long").alias("h"), F.lit(True).alias("is_first"))
-    known = single.union(firsts).groupBy("doc_id").agg(F.collect_list("h").alias("single"), F.max("is_first").alias("is_first"))
-    marked = texts.join(known, "doc_id", "left").select("doc_id", "text", "single", F.coalesce("is_first", F.lit(False)).alias("is_first"))
-    full = marked.mapInArrow(lambda it: _full_windows(it, width), "a long, b long, doc_id long, start int")
-    starts = full.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start")).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    return marked.join(starts, "doc_id", "left").mapInArrow(lambda it: _removed(it, width), RESULT).withColumn("doc_id", F.expr(f"nullif(doc_id, {LAST}L)"))
+    # The text's hash tells rows of one doc_id apart; where none repeats, a constant does and costs no space.
+    repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    texts = rows.withColumn("variant", F.xxhash64(F.lit(3), body) if repeated else F.lit(0).cast("long"))
+    firsts = texts.groupBy(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(7), body).alias("b")).agg(F.min(F.struct(*key)).alias("k")).select("k.*", F.lit(None).cast("long").alias("h"), F.lit(True).alias("is_first"))
+    marked = texts
+    for level in range(len(sizes) - 1):
+        parts = marked.mapInArrow(lambda it, level=level: _parts(it, sizes, level), "h long, doc_id long, variant long, times int")
+        known = parts.groupBy("h").agg(F.sum("times").alias("times"), F.min(F.struct(*key)).alias("k")).filter("times = 1").select("k.*", "h", F.lit(False).alias("is_first"))
+        if level == 0:
+            known = known.union(firsts)
+        told = [F.collect_list("h").alias(f"single{level}")] + [F.max("is_first").alias("is_first")] * (level == 0)
+        marked = marked.join(known.groupBy(*key).agg(*told), key, "left").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
+    full = marked.mapInArrow(lambda it: _full_windows(it, sizes), "a long, b long, doc_id long, variant long, start int")
+    starts = full.groupBy("a", "b").agg(F.min(F.struct(*key, "start")).alias("k")).select("k.*").groupBy(*key).agg(F.collect_list("start").alias("starts"))
+    out = marked.join(starts, key, "left").mapInArrow(lambda it: _removed(it, sizes), RESULT)
+    return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {LAST}L)"))

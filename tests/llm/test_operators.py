@@ -79,7 +79,7 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-@pytest.mark.parametrize("width", [20, 5])
+@pytest.mark.parametrize("width", [20, 5, 40])
 def test_substring_dedup(docs, rows, empty, width):
     seen, expected = set(), {}
     for i, t in rows:
@@ -103,6 +103,24 @@ def test_substring_dedup_of_repeated_and_null_ids(spark):
     assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in found) == [(-1, 30), (5, 0), (5, 0), (7, 0)]
 
 
+def test_substring_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    s, u, x, tail = words(30), words(40), words(5), words(7)
+    rows = [(3, s), (5, u), (5, f"{s} {tail}"), (9, f"{u} {x}"), (None, f"{x} {u}"), (None, f"{tail} {s}")]
+    found = sorted(((r["doc_id"] or 0, r["n_words"]), r["n_removed"]) for r in substring_dedup(table(spark, rows), 20).collect())
+    assert found == [((0, 37), 30), ((0, 45), 40), ((3, 30), 0), ((5, 37), 30), ((5, 40), 0), ((9, 45), 40)]
+
+
+def test_levels_double():
+    from strandloom.llm.substring_dedup import lengths
+
+    for width in range(2, 200):
+        found = lengths(width)
+        assert found[-1] == width and len(found) > 1 and all(a < b <= 2 * a for a, b in zip(found, found[1:])) or width == 2
+    assert lengths(20) == [10, 20] and lengths(100) == [13, 25, 50, 100]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 12)).astype(np.float32)
