@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import bitmap, may_be_in, written
+from strandloom.llm.common import remove, written
 from strandloom.llm.decontaminate import without_leaks
-from strandloom.llm.ngram_join import ngram_jaccard
+from strandloom.llm.ngram_join import without_near_duplicates
 from strandloom.llm.packing import pack_documents
 from strandloom.llm.pii import redact_pii
 from strandloom.llm.queries import tokenizer_path
@@ -26,14 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles of similarity 0.8 or more, the document of the smallest doc_id. Rows without a doc_id stay."""
-    groups = written(ngram_jaccard(docs, n=5, num=80, den=100), "pipeline-groups")
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    # Most documents are alone; only those that may be a later member of a group are looked up, so the others' texts aren't shuffled.
-    later = may_be_in(F.col("doc_id"), bitmap(groups.filter("doc_id <> component_id"), "doc_id"))
-    asked = docs.withColumn("_asked", F.col("doc_id").isNotNull() & later)
-    some = asked.filter("_asked").drop("_asked").join(kept, "doc_id", "left_semi").select(docs.columns)
-    return asked.filter("not _asked").drop("_asked").union(some)
+    """Of each group linked by five-word shingles of similarity 0.8 or more, one row: of the smallest doc_id, rows without one last."""
+    return without_near_duplicates(docs, n=5, num=80, den=100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        remove(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -100,6 +100,14 @@ def may_be_in(column: Column, found: np.ndarray) -> Column:
     return look(_place(column))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

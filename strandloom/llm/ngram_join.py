@@ -23,9 +23,9 @@ every pair of blocks is searched in a task of its own, so no task holds an unbou
 Links between classes, membership and components go through tables in the shared folder; none reach the driver.
 
 Cases: documents without words or text have an empty set and are alone. With fewer than n words the whole sequence is the
-one shingle. Rows that repeat a doc_id count each by their text; the id then gets the smallest component of its rows. Equal texts
+one shingle. Rows that repeat a doc_id count each by their text, and each row gets the component of its text. Equal texts
 share a class. An empty table gives no rows.
-Rows with a null doc_id get their class's component, or null. Other columns are ignored.
+Rows with a null doc_id link like all others, also as bridges; a component's id is the smallest doc_id that isn't null, or null if there is none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,16 +36,17 @@ from math import floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap as id_bitmap
-from .common import connected_components, may_be_in, small_batches, written
+from .common import connected_components, fresh_name, may_be_in, remove, small_batches, written
 from .text import Words, mix, slices, utf8, windows
 
-COUNTERS, SEGMENTS, FAN = 22, 64, 16  # counters of postings (a power of two), parts they are summed in, tasks of the first step
+COUNTERS, SEGMENTS, FAN = 22, 64, 64  # counters of postings (a power of two), parts they are summed in, tasks whose counts one task adds up
 GROWTH = 1.5  # largest size of a group of sizes over its smallest
 CLASSED = "doc_id long, lo long, hi long, n_shingles int"
+LINK_NAMES = ["lo", "hi", "lo2", "hi2"]
 
 
 def difference(size: int, num: int, den: int) -> int:
@@ -65,22 +66,21 @@ def bounds(limit: int = 1 << 40) -> list[int]:
 BOUNDS = np.array(bounds())
 
 
-def shingle_sets(column: pa.Array, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text the hashes of its different shingles, ascending by the first kind; both kinds."""
+def shingle_sets(column: pa.Array, n: int, kinds: int = 1) -> list[tuple[np.ndarray, ...]]:
+    """Of each text the hashes of its different shingles, ascending by the first kind, one array for each kind."""
     data, offsets = utf8(column)
     words = Words(data, offsets, lower=True)
-    h = words.hashes(2)
+    h = words.hashes(kinds)
     full = [mix(windows(x, n, kind)) for kind, x in enumerate(h)]
     out = []
     for lo, hi in zip(words.first, words.first[1:]):
         if hi - lo >= n:
             a, at = np.unique(full[0][lo : hi - n + 1], return_index=True)
-            out.append((a, full[1][lo : hi - n + 1][at]))
+            out.append((a, *(x[lo : hi - n + 1][at] for x in full[1:])))
         elif hi > lo:
-            short = [mix(windows(x[lo:hi], int(hi - lo), kind) + np.uint64(hi - lo)) for kind, x in enumerate(h)]
-            out.append((short[0], short[1]))
+            out.append(tuple(mix(windows(x[lo:hi], int(hi - lo), kind) + np.uint64(hi - lo)) for kind, x in enumerate(h)))
         else:
-            out.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+            out.append((np.zeros(0, np.uint64),) * kinds)
     return out
 
 
@@ -116,10 +116,10 @@ def _cells(a: np.ndarray, cells: int, k: int, salt: int) -> tuple[np.ndarray, np
 def _counted(batches, n):
     """Postings per counter of the texts of a task, as compressed segments."""
     counts = np.zeros(1 << COUNTERS, np.uint32)
-    for batch in slices(batches):
-        sets = [a for a, _ in shingle_sets(batch.column("text"), n)]
-        if sets:
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS).astype(np.uint32)
+    for batch in slices(batches, size=1 << 20):
+        if sets := [a for a, in shingle_sets(batch.column("text"), n)]:
+            at, times = np.unique(np.concatenate(sets) >> np.uint64(64 - COUNTERS), return_counts=True)
+            counts[at.astype(np.int64)] += times.astype(np.uint32)
     parts = [zlib.compress(part.tobytes(), 1) for part in counts.reshape(SEGMENTS, -1)]
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array(parts, pa.binary())], ["segment", "counts"])
 
@@ -129,14 +129,16 @@ def common_counters(texts: DataFrame, n: int) -> np.ndarray:
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros((1 << COUNTERS) // SEGMENTS, np.uint64)
         for part in table.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(part), np.uint32)
-        return pa.table({"segment": table.column("segment")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    kind = "segment int, counts binary"
-    # Two steps, so that no task adds up more than a part of the tasks' counts.
-    parts = texts.select("text").mapInArrow(lambda it: _counted(it, n), kind).withColumn("some", F.expr(f"cast(pmod(xxhash64(counts), {FAN}) as int)"))
-    first = parts.groupBy("segment", "some").applyInArrow(_narrowed, kind)
-    rows = first.groupBy("segment").applyInArrow(add, kind).collect()
+            part = zlib.decompress(part)
+            total += np.frombuffer(part, np.uint32 if len(part) == 4 * len(total) else np.uint64)
+        return pa.table({"segment": table.column("segment")[:1], "task": table.column("task")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    kind = "segment int, task int, counts binary"
+    parts = texts.select("text").mapInArrow(lambda it: _counted(it, n), "segment int, counts binary").select("segment", F.spark_partition_id().alias("task"), "counts")
+    # In steps, so that no task adds up more than FAN tasks' counts of a segment, up to FAN ** 3 tasks.
+    for _ in range(2):
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("segment", "task").applyInArrow(add, kind)
+    rows = parts.groupBy("segment").applyInArrow(add, kind).collect()  # 2 ** COUNTERS counts
     total = np.zeros((SEGMENTS, (1 << COUNTERS) // SEGMENTS), np.uint64)
     for row in rows:
         total[row["segment"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
@@ -144,40 +146,29 @@ def common_counters(texts: DataFrame, n: int) -> np.ndarray:
     return np.packbits(total.reshape(-1) > mean + 4 * np.sqrt(mean) + 4)
 
 
-def _narrowed(table: pa.Table) -> pa.Table:
-    total = np.zeros((1 << COUNTERS) // SEGMENTS, np.uint32)
-    for part in table.column("counts").to_pylist():
-        total = np.minimum(total.astype(np.uint64) + np.frombuffer(zlib.decompress(part), np.uint32), 0xFFFFFFFF).astype(np.uint32)
-    return pa.table({"segment": table.column("segment")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-
-def _signed(x: np.uint64) -> int:
-    return int(x) - (1 << 64) if int(x) >> 63 else int(x)
-
-
-def _class_of(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set."""
-    return _signed(mix(np.array([a.sum()]))[0]), _signed(mix(np.array([b.sum() + np.uint64(len(b))]))[0])
+def _class_of(a: np.ndarray, kind: int = 0) -> int:
+    """A 64-bit hash of a set, from its hashes of a kind; both make a class."""
+    return int(mix(np.array([a.sum() + np.uint64(kind * len(a))])).view(np.int64)[0])
 
 
 def _classed(batches, n):
     for batch in slices(batches):
-        rows = [(*_class_of(a, b), len(a)) if len(a) else (0, 0, 0) for a, b in shingle_sets(batch.column("text"), n)]
+        rows = [(_class_of(a), _class_of(b, 1), len(a)) if len(a) else (0, 0, 0) for a, b in shingle_sets(batch.column("text"), n, 2)]
         lo, hi, size = zip(*rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(size, pa.int32())], ["doc_id", "lo", "hi", "n_shingles"])
 
 
 def _keyed(batches, n, num, den, bitmap):
     """(key, lo) of each class in a task, once however many copies it has there."""
-    seen, bits = set(), np.unpackbits(bitmap).astype(bool)
-    for batch in slices(batches):
+    seen, bits = set(), np.unpackbits(bitmap).view(bool)
+    for batch in slices(batches, size=1 << 20):
         keys, owners = [], []
-        for a, b in shingle_sets(batch.column("text"), n):
-            if len(a) and (made := _class_of(a, b)) not in seen:
+        for a, in shingle_sets(batch.column("text"), n):
+            if len(a) and (made := _class_of(a)) not in seen:
                 seen.add(made)
                 found = cell_keys(a, bits[(a >> np.uint64(64 - COUNTERS)).astype(np.int64)], num, den)
                 keys.append(found)
-                owners.append(np.full(len(found), made[0]))
+                owners.append(np.full(len(found), made))
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "lo"])
 
@@ -242,7 +233,7 @@ def merged(lists: list[np.ndarray], heap: int = 64) -> list[tuple[int, int]]:
 
 
 def _searched(batches, num, den):
-    """Groups in rows sorted by (grp, a, b): their links as (src, dst) class ids."""
+    """Groups in rows sorted by (grp, a, b): their links as pairs of classes (lo, hi)."""
     held, key = [], None
 
     def links():
@@ -250,35 +241,38 @@ def _searched(batches, num, den):
         sets = [np.frombuffer(r[2], np.uint64) for r in held]
         apart = None if key[1] == key[2] else np.array([int(r[1] == key[2]) for r in held])
         found = t_occurrence(sets, num, den, apart) if len(held) > 1 else []
-        return [(ids[x], ids[y]) for x, y in found]
+        return [(*ids[x], *ids[y]) for x, y in found]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], LINK_NAMES)
 
     out = []
     for batch in batches:
-        for g, a, b, block, doc, blob in zip(*(batch.column(c).to_pylist() for c in ("grp", "a", "b", "block", "doc_id", "shingles"))):
+        for g, a, b, block, lo, hi, blob in zip(*(batch.column(c).to_pylist() for c in ("grp", "a", "b", "block", "lo", "hi", "shingles"))):
             if (g, a, b) != key:
                 if held:
                     out += links()
                 held, key = [], (g, a, b)
-            held.append((doc, block, blob))
+            held.append(((lo, hi), block, blob))
         if len(out) > 4096:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["src", "dst"])
+            yield batch_of(out)
             out = []
     if held:
         out += links()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["src", "dst"])
+        yield batch_of(out)
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block: int = 600_000) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _linked(texts: DataFrame, n: int, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows' classes, classes with their least doc_id and number of rows, linked classes with the class at their component's root)."""
     bitmap = common_counters(texts, n)
     classed = written(texts.mapInArrow(lambda it: _classed(it, n), CLASSED), "join-classes")
     some = classed.filter("n_shingles > 0")
-    firsts = written(some.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "join-firsts")
+    firsts = written(some.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows")), "join-firsts")
 
     # Ties: under each key, from every class to the least; equal sets share lo and fall together.
-    tied = texts.mapInArrow(lambda it: _keyed(it, n, num, den, bitmap), "key long, lo long").repartition("key")  # the one exchange of keys; aggregation and join below reuse it
+    # Without the filter the aggregation and the join would each make an exchange of their own.
+    tied = texts.mapInArrow(lambda it: _keyed(it, n, num, den, bitmap), "key long, lo long").filter("key is not null and lo is not null").repartition("key")
     least = tied.groupBy("key").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).filter("least < most").select("key", "least")
     ties = tied.join(least, "key").filter("lo <> least").select(F.col("lo").alias("src"), F.col("least").alias("dst")).distinct()
     groups = connected_components(ties, "join-groups").select(F.col("node").alias("lo"), F.col("root").alias("grp"))
@@ -286,24 +280,71 @@ def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bl
     # The sets of classes in groups, each once, cut into blocks where a group is large.
     members = firsts.join(groups, "lo")
     load = members.groupBy("grp").agg(F.sum("n_shingles").alias("load"))
-    placed = members.join(load, "grp").withColumn("blocks", F.ceil(F.col("load") / block).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    placed = written(placed.select(F.col("rep").alias("doc_id"), "grp", "block", "blocks", "lo"), "join-placed")
-    searched = texts.filter(may_be_in(F.col("doc_id"), id_bitmap(placed, "doc_id")))  # most documents are in no group and needn't be shuffled
+    placed = members.join(load, "grp").withColumn("blocks", F.ceil(F.col("load") / block).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(lo, hi), blocks) as int)"))
+    placed = written(placed.select("grp", "block", "blocks", "lo", "hi"), "join-placed")
+    some_lo = id_bitmap(placed, "lo")  # most documents are in no group, and their sets needn't be shuffled
 
     def shingled(batches):
+        seen = set()
         for batch in slices(batches):
-            sets = shingle_sets(batch.column("text"), n)
-            same = [len(a) > 0 and _class_of(a, b)[0] == lo for (a, b), lo in zip(sets, batch.column("lo").to_pylist())]  # of rows that repeat a doc_id, the class's own
-            blobs = [a.tobytes() for a, _ in sets]
-            made = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grp"), batch.column("block"), batch.column("blocks"), pa.array(blobs, pa.binary())], ["doc_id", "grp", "block", "blocks", "shingles"])
-            yield made.filter(pa.array(same))
-
-    sets = searched.join(placed, "doc_id").mapInArrow(shingled, "doc_id long, grp long, block int, blocks int, shingles binary")
+            rows = [(_class_of(a), _class_of(b, 1), a.tobytes()) for a, b in shingle_sets(batch.column("text"), n, 2) if len(a)]
+            rows = [r for r in rows if r[:2] not in seen and not seen.add(r[:2])]
+            if rows:
+                lo, hi, blobs = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(blobs, pa.binary())], ["lo", "hi", "shingles"])
+
+    found = texts.mapInArrow(shingled, "lo long, hi long, shingles binary").filter(may_be_in(F.col("lo"), some_lo))
+    sets = found.join(placed, ["lo", "hi"]).groupBy("lo", "hi", "grp", "block", "blocks").agg(F.first("shingles").alias("shingles"))  # tasks that hold copies of a class send it each
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("grp", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "doc_id", "shingles")
+    pairs = pairs.select("grp", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "lo", "hi", "shingles")
     dealt = pairs.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b")
-    links = dealt.mapInArrow(lambda it: _searched(it, num, den), "src long, dst long")
-    roots = connected_components(links, "join-links").select(F.col("node").alias("rep"), "root")
-    known = firsts.join(roots, "rep", "left").select("lo", "hi", F.coalesce("root", "rep").alias("component_id"))
+    links = dealt.mapInArrow(lambda it: _searched(it, num, den), "lo long, hi long, lo2 long, hi2 long")
+    nodes = connected_components(links.select(F.struct("lo", "hi").alias("src"), F.struct(F.col("lo2").alias("lo"), F.col("hi2").alias("hi")).alias("dst")), "join-links")
+    remove(placed)
+    return classed, firsts, nodes.select("node.lo", "node.hi", "root")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block: int = 600_000) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    classed, firsts, nodes = _linked(_texts(docs), n, num, den, block)
+    least = firsts.join(nodes, ["lo", "hi"]).groupBy("root").agg(F.min("rep").alias("component_id"))
+    known = firsts.join(nodes.join(least, "root"), ["lo", "hi"], "left").select("lo", "hi", F.coalesce("component_id", "rep").alias("component_id"))
     out = classed.join(known, ["lo", "hi"], "left")
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = 600_000) -> DataFrame:
+    """docs with one row of each component: one of its smallest doc_id, of several the one of the least text hash; rows without words all stay.
+
+    Decided row by row, so rows that repeat a doc_id or have none are treated as all others. Only rows that may have to go are shuffled.
+    """
+    _, firsts, nodes = _linked(_texts(docs), n, num, den, block)
+    firsts = firsts.select("lo", "hi", "rep", "rows")
+    members = firsts.join(nodes, ["lo", "hi"])
+    best = members.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "lo", "hi")).alias("best")).select("root", F.col("best.lo").alias("best_lo"), F.col("best.hi").alias("best_hi"))
+    gone = written(members.join(best, "root").filter("lo <> best_lo or hi <> best_hi").select("lo", "hi"), "join-gone")
+    several = firsts.filter("rows > 1").select("lo", "hi")
+    asked = id_bitmap(gone.union(several), "lo")
+
+    @F.arrow_udf("struct<lo:long,hi:long>")
+    def class_of(column: pa.Array) -> pa.Array:
+        made = [[], []]
+        for part in slices([pa.RecordBatch.from_arrays([column], ["text"])]):
+            for a, b in shingle_sets(part.column("text"), n, 2):
+                made[0].append(_class_of(a) if len(a) else None)
+                made[1].append(_class_of(b, 1) if len(a) else None)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in made], ["lo", "hi"])
+
+    name = fresh_name(docs, "class")
+    look = fresh_name(docs, "look")
+    rows = small_batches(docs).withColumn(name, class_of(F.col("text").cast("string")))
+    rows = rows.withColumn(look, F.col(f"{name}.lo").isNotNull() & may_be_in(F.coalesce(F.col(f"{name}.lo"), F.lit(0).cast("long")), asked))
+    gone = gone.select(F.struct("lo", "hi").alias(name))
+    some = rows.filter(look).join(gone, name, "left_anti")
+    order = Window.partitionBy(name).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text"))
+    kept = some.withColumn(look, F.row_number().over(order)).filter(F.col(look) == 1)
+    return rows.filter(~F.col(look)).select(docs.columns).union(kept.select(docs.columns))

@@ -306,6 +306,14 @@ def test_ngram_join_of_chains(spark):
     assert got == jaccard(rows, 4, 85, 100)
 
 
+def test_ngram_join_of_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(400)]
+    text = lambda i: " ".join(words[3 * i : 3 * i + 100])
+    rows = [(5, text(0)), (None, text(1)), (2, text(2)), (7, text(40)), (7, text(50)), (8, text(41)), (9, text(51)), (None, text(90)), (None, "")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in ngram_jaccard(table(spark, rows), 4, 85).collect())
+    assert got == [(0, 0, 0), (0, 97, 0), (0, 97, 2), (2, 97, 2), (5, 97, 2), (7, 97, 7), (7, 97, 7), (8, 97, 7), (9, 97, 7)]
+
+
 def test_t_occurrence_against_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 60, (6, 30))

@@ -54,3 +54,30 @@ def test_redaction_and_packing(stages):
     for r in packed.collect():
         total[r["sequence_id"]] += r["length"]
     assert max(total.values()) <= 2048
+
+
+HARD = "doc_id long, text string, lang string, source string, n_chars long, _class string, _look int, pii string, class string"
+
+
+def hard_rows():
+    words = [f"w{i}" for i in range(1000)]
+    text = lambda i, n=100: " ".join(words[3 * i : 3 * i + n])
+    some = [(5, text(0)), (None, text(1)), (2, text(0)), (2, text(0)), (2, text(80)), (2, text(81)), (7, text(120)), (7, text(121)), (None, text(200)), (None, text(200)), (8, None), (8, ""), (9, " \n"), (None, None)]
+    return [(i, t, None, "s", len(t or ""), "clash", 1, "x", None) for i, t in some]
+
+
+def test_near_duplicates_row_by_row(spark):
+    docs = spark.createDataFrame(hard_rows(), HARD).repartition(3)
+    after = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert after.columns == docs.columns
+    found = sorted((r["doc_id"] or 0, len((r["text"] or "").split()), (r["text"] or "").split()[:1]) for r in after.collect())
+    assert [(i, n) for i, n, _ in found] == [(0, 0), (0, 100), (2, 100), (2, 100), (7, 100), (8, 0), (8, 0), (9, 0)]
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark):
+    docs = spark.createDataFrame(hard_rows(), HARD)
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, DATA)
+        assert name == "packing" or after.columns == docs.columns
+        assert after.count() > 0 and stage(spark, docs.limit(0), DATA).count() == 0
