@@ -95,11 +95,11 @@ class Level:
         return alive
 
 
-def _keys(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
-    return [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[rows].astype(np.int64)) for c in ("doc_id", "variant")]
+def _keys(batch: pa.RecordBatch, rows: np.ndarray, key: list[str]) -> list[pa.Array]:
+    return [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[rows].astype(np.int64)) for c in key]
 
 
-def _parts(batches, sizes, upto):
+def _parts(batches, sizes, upto, key):
     """Windows of a level that are the least part of a window of the next one, once for a document."""
     for batch in slices(batches):
         level = Level(batch, sizes, 1)
@@ -114,11 +114,11 @@ def _parts(batches, sizes, upto):
         rows = pd.DataFrame({"doc": level.text[chosen], "h": found[chosen]})
         again, keep = rows.duplicated(keep=False).to_numpy(), ~rows.duplicated().to_numpy()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["h"].to_numpy()[keep].view(np.int64)), *_keys(batch, rows["doc"].to_numpy()[keep]), pa.array((1 + again[keep]).astype(np.int32))], ["h", "doc_id", "variant", "times"]
+            [pa.array(rows["h"].to_numpy()[keep].view(np.int64)), *_keys(batch, rows["doc"].to_numpy()[keep], key), pa.array((1 + again[keep]).astype(np.int32))], ["h", *key, "times"]
         )
 
 
-def _full_windows(batches, sizes):
+def _full_windows(batches, sizes, key):
     for batch in slices(batches):
         level = Level(batch, sizes, 2)
         found = np.flatnonzero(level.alive(batch, len(sizes) - 1))
@@ -128,8 +128,8 @@ def _full_windows(batches, sizes):
         doc = level.text[found]
         keep = ~pd.DataFrame({"d": doc, "a": a, "b": b}).duplicated().to_numpy()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), *_keys(batch, doc[keep]), pa.array((found - level.words.first[doc])[keep].astype(np.int32))],
-            ["a", "b", "doc_id", "variant", "start"],
+            [pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), *_keys(batch, doc[keep], key), pa.array((found - level.words.first[doc])[keep].astype(np.int32))],
+            ["a", "b", *key, "start"],
         )
 
 
@@ -174,22 +174,32 @@ def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_words, n_removed, kept_text, kept_sha256, one row per row of docs."""
     if width < 2:
         raise ValueError("width must be 2 or more")
-    sizes, key = lengths(width), ["doc_id", "variant"]
+    sizes = lengths(width)
     rows = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     body = F.coalesce("text", F.lit(""))
-    # The text's hash tells rows of one doc_id apart; where none repeats, a constant does and costs no space.
+    # Where doc_ids repeat, the text's hash tells their rows apart; else it would only take space.
     repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    texts = rows.withColumn("variant", F.xxhash64(F.lit(3), body) if repeated else F.lit(0).cast("long"))
-    firsts = texts.groupBy(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(7), body).alias("b")).agg(F.min(F.struct(*key)).alias("k")).select("k.*", F.lit(None).cast("long").alias("h"), F.lit(True).alias("is_first"))
+    key = ["doc_id", "variant"] if repeated else ["doc_id"]
+    kinds = ", ".join(f"{c} long" for c in key)
+
+    def least(*more):
+        """The least key of a group and what goes with it; primitive columns alone let Spark aggregate by hash."""
+        if repeated:
+            found = F.min(F.struct(*key, *more))
+            return [found[c].alias(c) for c in (*key, *more)]
+        return [F.min("doc_id").alias("doc_id"), *(F.min_by(c, "doc_id").alias(c) for c in more)]
+
+    texts = rows.withColumn("variant", F.xxhash64(F.lit(3), body)) if repeated else rows
+    firsts = texts.groupBy(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(7), body).alias("b")).agg(*least()).select(*key, F.lit(None).cast("long").alias("h"), F.lit(True).alias("is_first"))
     marked = texts
     for level in range(len(sizes) - 1):
-        parts = marked.mapInArrow(lambda it, level=level: _parts(it, sizes, level), "h long, doc_id long, variant long, times int")
-        known = parts.groupBy("h").agg(F.sum("times").alias("times"), F.min(F.struct(*key)).alias("k")).filter("times = 1").select("k.*", "h", F.lit(False).alias("is_first"))
+        parts = marked.mapInArrow(lambda it, level=level: _parts(it, sizes, level, key), f"h long, {kinds}, times int")
+        known = parts.groupBy("h").agg(F.sum("times").alias("times"), *least()).filter("times = 1").select(*key, "h", F.lit(False).alias("is_first"))
         if level == 0:
             known = known.union(firsts)
         told = [F.collect_list("h").alias(f"single{level}")] + [F.max("is_first").alias("is_first")] * (level == 0)
         marked = marked.join(known.groupBy(*key).agg(*told), key, "left").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
-    full = marked.mapInArrow(lambda it: _full_windows(it, sizes), "a long, b long, doc_id long, variant long, start int")
-    starts = full.groupBy("a", "b").agg(F.min(F.struct(*key, "start")).alias("k")).select("k.*").groupBy(*key).agg(F.collect_list("start").alias("starts"))
+    full = marked.mapInArrow(lambda it: _full_windows(it, sizes, key), f"a long, b long, {kinds}, start int")
+    starts = full.groupBy("a", "b").agg(*least("start")).groupBy(*key).agg(F.collect_list("start").alias("starts"))
     out = marked.join(starts, key, "left").mapInArrow(lambda it: _removed(it, sizes), RESULT)
     return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {LAST}L)"))

@@ -6,7 +6,6 @@ Hashes are 64 bits wide; two independent ones serve where equality decides a res
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,23 +49,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def give_back() -> None:
-    """Let what a worker frees go back to the system at once, where the C library can; else each worker keeps its peak between tasks."""
-    if not _GIVEN:
-        _GIVEN.append(True)
-        pa.set_memory_pool(pa.system_memory_pool())
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "mallopt"):
-            for option in (-3, -1):  # fixed values: M_MMAP_THRESHOLD and M_TRIM_THRESHOLD
-                libc.mallopt(option, 1 << 20)
-
-
-_GIVEN: list[bool] = []
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about size bytes of text, short batches joined and long ones cut; a longer text is a batch of its own."""
-    give_back()
     held, weight = [], 0
     for batch in batches:
         if not batch.num_rows:
