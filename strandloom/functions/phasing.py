@@ -74,6 +74,21 @@ def breakpoints(x, labels, alleles, double: bool = True) -> tuple[int, int]:
     return double_breakpoint(x, alleles[0], alleles[2], alleles[1], alleles[3])[:2]
 
 
+def oriented(x, labels, alleles, double: bool = True) -> tuple[tuple[int, int], tuple[int, int]]:
+    """((k, l), (b1, b2)) between two windows whose pairs are not in phase: the second pair is turned if that lets a strand go on.
+
+    As breakpoints() if i = k, or if j = l and no strand goes on in the other orientation. With one strand kept in a turned pair, the other's break point is
+    searched with the kept one fixed. If nothing matches, the pair stays as it is.
+    """
+    i, j, k, l = labels
+    if (i, j) == (k, l) or (i == k and j != l):
+        return (k, l), breakpoints(x, labels, alleles, double)
+    if i == l or j == k:
+        turned = [alleles[0], alleles[1], alleles[3], alleles[2]]
+        return (l, k), breakpoints(x, (i, j, l, k), turned, double)
+    return (k, l), breakpoints(x, labels, alleles, double)
+
+
 def push(mosaic: list[tuple[int, int, int]], start: int, label: int, window: int) -> None:
     """Append a segment; the last one goes first if the new one doesn't begin after it."""
     if mosaic and start <= mosaic[-1][0]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import neighbours
+
 
 def bounded(segments: DataFrame, total) -> DataFrame:
     """segments with end: a segment runs to the next one's start, the last to `total`."""
@@ -24,6 +26,29 @@ def expanded(segments: DataFrame, haplotypes: DataFrame) -> DataFrame:
     return rows.join(haplotypes.select("variant_idx", "hap_idx", "allele"), ["variant_idx", "hap_idx"]).select("sample_idx", "strand", "variant_idx", "allele")
 
 
+def pieces(segments: DataFrame, windows: DataFrame) -> DataFrame:
+    """Bounded segments (panel coordinates) cut at windows: (sample_idx, strand, hap_label, window, lo, hi, at), at: the window's first variant.
+
+    A segment that is labelled with window w begins in w - 1 or w, and ends where the next one begins; so its windows are known but for the two ends.
+    """
+    order = Window.partitionBy("sample_idx", "strand").orderBy("seg_no")
+    last = windows.agg(F.max("window").alias("_last"))
+    until = F.coalesce(F.lead("window").over(order), F.col("_last"))
+    rows = segments.join(F.broadcast(last)).withColumn("_until", until)  # a single row
+    rows = rows.select("sample_idx", "strand", "hap_label", "start", "end", F.explode(F.sequence(F.greatest(F.col("window") - 1, F.lit(1)), F.greatest("_until", "window"))).alias("window"))
+    rows = rows.join(windows.select("window", "h_start", "h_end"), "window").filter((F.col("start") <= F.col("h_end")) & (F.col("end") >= F.col("h_start")))
+    return rows.select("sample_idx", "strand", "hap_label", "window", F.greatest("start", "h_start").alias("lo"), F.least("end", "h_end").alias("hi"), F.col("h_start").alias("at"))
+
+
+def expanded_by_window(segments: DataFrame, windows: DataFrame, unique: DataFrame) -> DataFrame:
+    """As expanded(), from a compressed panel: the join is by window and haplotype, and a piece's alleles are a part of its haplotype's bits there."""
+    bits = unique.select("window", F.col("hap_idx").alias("hap_label"), "bits")
+    joined = pieces(segments, windows).join(bits, ["window", "hap_label"])
+    part = F.split(F.substring("bits", F.col("lo") - F.col("at") + 1, F.col("hi") - F.col("lo") + 1), "")
+    rows = joined.select("sample_idx", "strand", "lo", F.posexplode(part).alias("n", "allele")).filter("allele <> ''")
+    return rows.select("sample_idx", "strand", (F.col("lo") + F.col("n")).alias("variant_idx"), F.col("allele").cast("int").alias("allele"))
+
+
 def segment_at(points: DataFrame, segments: DataFrame) -> DataFrame:
     """As-of join: each point (sample_idx, strand, variant_idx) with the label of the last segment that starts at or before it."""
     marks = segments.select("sample_idx", "strand", F.col("start").alias("variant_idx"), F.lit(0).alias("kind"), "hap_label")
@@ -64,9 +89,6 @@ def typed_scores(genotypes: DataFrame, dosage: DataFrame, by: str) -> DataFrame:
 
 def variant_scores(typed: DataFrame, variants: DataFrame) -> DataFrame:
     """Scores of all variants: an untyped one has the mean of its typed neighbours' scores, at the ends the nearest one's."""
-    rows = variants.select("variant_idx").join(typed.withColumn("typed", F.lit(True)), "variant_idx", "left")
-    back = Window.orderBy("variant_idx").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.orderBy("variant_idx").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({"a": F.last("score", ignorenulls=True).over(back), "b": F.first("score", ignorenulls=True).over(ahead)})
-    mean = (F.coalesce("a", "b") + F.coalesce("b", "a")) / 2
+    rows = neighbours(variants.select("variant_idx").join(typed.withColumn("typed", F.lit(True)), "variant_idx", "left"), "score", "variant_idx")
+    mean = (F.coalesce("before", "after") + F.coalesce("after", "before")) / 2
     return rows.select("variant_idx", F.when(F.col("typed"), F.col("score")).otherwise(mean).alias("score"), F.coalesce("typed", F.lit(False)).alias("typed"))

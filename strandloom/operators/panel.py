@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def allele_frequency(haplotypes: DataFrame) -> DataFrame:
     return haplotypes.groupBy("variant_idx").agg(F.avg("allele").alias("alt_freq"))
@@ -12,8 +14,7 @@ def allele_frequency(haplotypes: DataFrame) -> DataFrame:
 
 def typed_index(typed: DataFrame, variants: DataFrame) -> DataFrame:
     """x_idx (place among typed variants) and variant_idx of each typed position: an equi-join on position."""
-    joined = typed.select("pos").join(variants.select("pos", "variant_idx"), "pos")
-    return joined.withColumn("x_idx", F.row_number().over(Window.orderBy("variant_idx")))
+    return numbered(typed.select("pos").join(variants.select("pos", "variant_idx"), "pos"), "x_idx", "variant_idx")
 
 
 def bisected(typed_haplotypes: DataFrame, n_typed: int, d: int = 1000, minwidth: int = 0) -> list[tuple[int, int]]:
@@ -26,7 +27,7 @@ def bisected(typed_haplotypes: DataFrame, n_typed: int, d: int = 1000, minwidth:
     spark = typed_haplotypes.sparkSession
     open_, done = [(1, n_typed)], []
     while open_:
-        table = spark.createDataFrame([(lo, hi, x) for lo, hi in open_ for x in range(lo, hi + 1)], "lo int, hi int, x_idx int")
+        table = spark.createDataFrame(open_, "lo int, hi int").select("lo", "hi", F.explode(F.sequence("lo", "hi")).alias("x_idx"))
         rows = typed_haplotypes.join(table, "x_idx").groupBy("lo", "hi", "hap_idx")
         keys = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x_idx", "allele"))), lambda s: s.allele), "").alias("bits"))
         counts = {(r["lo"], r["hi"]): r["n"] for r in keys.groupBy("lo", "hi").agg(F.count_distinct("bits").alias("n")).collect()}
@@ -67,12 +68,25 @@ def window_variants(windows: DataFrame) -> DataFrame:
     return windows.select("window", F.explode(F.sequence("h_start", "h_end")).alias("variant_idx"))
 
 
-def unique_haplotypes(haplotypes: DataFrame, windows: DataFrame) -> DataFrame:
+def padded_variants(padded_: DataFrame, typed: DataFrame) -> DataFrame:
+    """The typed variants of each window with its flanks, by SNP."""
+    spans = padded_.select("window", F.explode(F.sequence(F.col("x_start_pad").cast("int"), F.col("x_end_pad").cast("int"))).alias("x_idx"))
+    return spans.join(typed.select("x_idx", "variant_idx"), "x_idx").select("window", "variant_idx")
+
+
+def inner_rows(padded_: DataFrame) -> DataFrame:
+    """(window, x_idx, inner_row): of each typed variant of a window with flanks, whether it is in the window itself."""
+    spans = padded_.select("window", F.explode(F.sequence(F.col("x_start_pad").cast("int"), F.col("x_end_pad").cast("int"))).alias("x_idx"), "x_start", "x_end")
+    return spans.withColumn("inner_row", F.col("x_idx").between(F.col("x_start"), F.col("x_end")))
+
+
+def unique_haplotypes(haplotypes: DataFrame, windows: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """(window, hap_idx, bits, rep, unique_idx): rep is the first haplotype of the same bits, unique_idx its rank in the window.
 
+    spans (window, variant_idx) are the windows' variants, where they aren't those from h_start to h_end.
     One shuffle by (window, hap_idx) builds the bits, one by window ranks the representatives only.
     """
-    rows = haplotypes.join(window_variants(windows), "variant_idx").groupBy("window", "hap_idx")
+    rows = haplotypes.join(window_variants(windows) if spans is None else spans, "variant_idx").groupBy("window", "hap_idx")
     keyed = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant_idx", "allele"))), lambda s: s.allele), "").alias("bits"))
     reps = keyed.groupBy("window", "bits").agg(F.min("hap_idx").alias("rep"))
     reps = reps.withColumn("unique_idx", F.row_number().over(Window.partitionBy("window").orderBy("rep")))
@@ -92,6 +106,14 @@ def translations(everything: DataFrame, typed: DataFrame) -> DataFrame:
     return a.join(t, ["window", "hap_idx"]).join(back, ["window", "typed_rep"])
 
 
+def window_widths(windows: DataFrame) -> DataFrame:
+    return windows.select("window", (F.col("x_end") - F.col("x_start") + 1).alias("width"))
+
+
+def haplotypes_per_window(unique: DataFrame) -> DataFrame:
+    return unique.groupBy("window").agg(F.max("unique_idx").alias("n_unique"))
+
+
 def summary(windows: DataFrame, unique: DataFrame) -> DataFrame:
     """Number of windows and haplotypes, widest window, most and mean unique haplotypes."""
     counts = unique.groupBy("window").agg(F.max("unique_idx").alias("n_unique"), F.count(F.lit(1)).alias("n_haps"))

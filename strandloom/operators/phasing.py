@@ -44,22 +44,37 @@ def adjacent(labels: DataFrame, vectors: DataFrame, unique: DataFrame) -> DataFr
     return steps.join(wide, ["sample_idx", "window"]).select("sample_idx", "window", *"ijkl", F.concat("x_before", "x_now").alias("x"), *[f"bits_{role}" for role in "ijkl"])
 
 
-def _points(row, double: bool) -> tuple[int, int]:
+def _step(row):
     x = np.array([np.nan if v is None else v for v in row.x], float)
     alleles = [np.frombuffer(getattr(row, f"bits_{role}").encode(), np.uint8).astype(float) - 48 for role in "ijkl"]
-    return P.breakpoints(x, (row.i, row.j, row.k, row.l), alleles, double)
+    if any(len(a) != len(x) for a in alleles):
+        raise ValueError(f"sample {row.sample_idx}, window {row.window}: {len(x)} values, but haplotypes of {[len(a) for a in alleles]}")
+    return x, (row.i, row.j, row.k, row.l), alleles
 
 
 def breakpoints(steps: DataFrame, double: bool = True) -> DataFrame:
     """(sample_idx, window, b1, b2) of rows made by adjacent(); -1: the strand doesn't change, -2: not searched."""
     def run(batches):
         for pdf in batches:
-            found = [_points(row, double) for row in pdf.itertuples()]
+            found = [P.breakpoints(*_step(row), double) for row in pdf.itertuples()]
             yield pd.DataFrame({"sample_idx": pdf["sample_idx"], "window": pdf["window"], "b1": [b for b, _ in found], "b2": [b for _, b in found]})
 
     return steps.mapInPandas(run, "sample_idx int, window int, b1 int, b2 int")
 
 
+def continued(steps: DataFrame, double: bool = False) -> DataFrame:
+    """(sample_idx, window, hap1, hap2, b1, b2) of rows made by adjacent(), for pairs that are not in phase: the second pair as it is or turned, whichever lets a strand go on."""
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples():
+                (k, l), (b1, b2) = P.oriented(*_step(row), double)
+                rows.append((row.sample_idx, row.window, k, l, b1, b2))
+            yield pd.DataFrame(rows, columns=["sample_idx", "window", "hap1", "hap2", "b1", "b2"])
+
+    return steps.mapInPandas(run, "sample_idx int, window int, hap1 int, hap2 int, b1 int, b2 int")
+
+
 def mosaics(labels: DataFrame, points: DataFrame, windows: DataFrame, form: str = "label") -> DataFrame:
     """Segments (sample_idx, strand, seg_no, start, window, hap_label) in typed coordinates.
 

@@ -12,8 +12,14 @@ from ..functions import search as S
 FOUND = "sample_idx int, window int, hap1 int, hap2 int, score double"
 
 
-def mean_filled(genotypes: DataFrame) -> DataFrame:
-    """genotypes with x: gt, where missing the mean of the variant's observed entries, else 0."""
+def mean_filled(genotypes: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
+    """genotypes with x: gt, where missing the mean of the variant's observed entries, else 0.
+
+    With the panel's frequency (variant_idx, alt_freq) the mean is twice that, so a sample's values don't depend on what other samples are there.
+    """
+    if frequency is not None:
+        known = genotypes.join(frequency.select("variant_idx", (2 * F.col("alt_freq")).alias("_mean")), "variant_idx", "left")
+        return known.withColumn("x", F.coalesce(F.col("gt").cast("double"), "_mean", F.lit(0.0))).drop("_mean")
     mean = F.avg("gt").over(Window.partitionBy("variant_idx"))
     return genotypes.withColumn("x", F.coalesce(F.col("gt").cast("double"), mean, F.lit(0.0)))
 
@@ -38,41 +44,45 @@ def pair_search(
 ) -> DataFrame:
     """(sample_idx, window, hap1, hap2, score) with complete haplotype indices.
 
-    vectors: window_vectors; unique: unique haplotypes on typed variants. strategy: global, rescreen, stepwise, thinning or auto (the
-    screening strategies apply beyond max_haplotypes unique haplotypes; smaller windows are searched globally, or with rescreen by that strategy).
-    Windows and blocks of samples are the unit of work: a group holds at most d haplotypes and sample_block samples. weights: (window, weights array).
+    vectors: window_vectors; unique: unique haplotypes on typed variants. strategy: global, rescreen, stepwise or thinning. The latter two
+    screen windows of more than max_haplotypes unique haplotypes; smaller ones are searched globally, or by rescreening if `rescreen` is set or the strategy.
+    weights: (window, weights array), used by all but rescreening, and by thinning for the distances alone.
+    Windows and blocks of samples are the unit of work: a group holds at most d haplotypes and sample_block samples.
     """
+    if strategy not in ("global", "rescreen", "stepwise", "thinning"):
+        raise ValueError(f"no such strategy: {strategy}")
     reps = unique.filter("hap_idx = rep").select("window", "unique_idx", "rep", "bits")
     blocked = vectors.withColumn("block", F.floor(F.col("sample_idx") / sample_block).cast("int"))
     present = blocked.select("window", "block").distinct()
     panel = reps.join(present, "window")
     if weights is not None:
         panel = panel.join(weights, "window")
+    names = ["sample_idx", "window", "hap1", "hap2", "score"]
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in ("sample_idx", "window", "hap1", "hap2", "score")})
+            return pd.DataFrame({c: [] for c in names})
         right = right.sort_values("unique_idx")
         h = np.array([np.frombuffer(b.encode(), np.uint8) - 48 for b in right["bits"]], float)
         rep = right["rep"].to_numpy()
         w = np.asarray(right["weights"].iloc[0], float) if "weights" in right else None
-        big = len(h) > max_haplotypes
-        screened = strategy in ("stepwise", "thinning") and (big or max_haplotypes == 0)
-        again = not screened and (strategy == "rescreen" or rescreen)
-        m = S.sums(h, None if again else w)  # rescreening takes no weights
-        rows = []
-        for sample, x, seen in zip(left["sample_idx"], left["x"], left["seen"]):
-            x, seen = np.asarray(x, float), np.asarray(seen, bool)
-            if screened and strategy == "stepwise":
-                j, k, score = S.stepwise(x, h, m, r)
-            elif screened:
-                j, k, score = S.thinned(x, h, keep, w)
-            elif again:
-                j, k, score = S.rescreened(x, h, m, seen)
-            else:
-                j, k, score = S.best_pair(x, h, m, w)
-            rows.append((sample, key[0], rep[j], rep[k], score))
-        return pd.DataFrame(rows, columns=["sample_idx", "window", "hap1", "hap2", "score"])
+        widths = {len(v) for v in left["x"]} | ({len(w)} if w is not None else set())
+        if widths != {h.shape[1]}:
+            raise ValueError(f"window {key[0]}: haplotypes have {h.shape[1]} variants, samples or weights {sorted(widths)}")
+        x, seen = np.stack(left["x"].to_list()).astype(float), np.stack(left["seen"].to_list()).astype(bool)
+        if not np.isfinite(x).all():
+            raise ValueError(f"window {key[0]}: a genotype is missing or not finite after initialisation")
+        screened = strategy in ("stepwise", "thinning") and len(h) > max_haplotypes
+        if screened and strategy == "stepwise":
+            found = S.stepwise(x, h, r, w)
+        elif screened:
+            found = S.thinned(x, h, keep, w)
+        elif strategy == "rescreen" or rescreen:
+            found = S.rescreened(x, h, seen)
+        else:
+            found = S.best_pairs(x, h, w)
+        j, k, score = zip(*found)
+        return pd.DataFrame({"sample_idx": left["sample_idx"].to_numpy(), "window": key[0], "hap1": rep[list(j)], "hap2": rep[list(k)], "score": score})
 
     # Both sides come from one plan, so the panel's keys get names of their own.
     panel = panel.withColumns({"panel_window": F.col("window") + 0, "panel_block": F.col("block") + 0}).drop("window", "block")

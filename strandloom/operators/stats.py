@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .panel import window_variants
+
 
 def genotype_stats(genotypes: DataFrame) -> DataFrame:
     """Per variant: observed, missing, alternative frequency, minor frequency and chi-squared of Hardy-Weinberg equilibrium."""
@@ -49,6 +51,7 @@ def filtered(genotypes: DataFrame, variants: DataFrame, samples: DataFrame) -> D
 
 
 def masked(genotypes: DataFrame, condition) -> DataFrame:
+    """genotypes with null where the condition holds; phased alleles are put together by unphased() first."""
     return genotypes.withColumn("gt", F.when(~condition, F.col("gt")))
 
 
@@ -87,7 +90,7 @@ def informative_markers(haplotypes: DataFrame, populations: DataFrame, top: int)
 
 def edge_error_share(errors: DataFrame, windows: DataFrame, near: int) -> DataFrame:
     """Share of wrong genotypes that lie within `near` variants of a window's edge; errors (variant_idx, wrong)."""
-    rows = errors.join(windows, errors["variant_idx"].between(windows["h_start"], windows["h_end"]))
+    rows = errors.join(window_variants(windows), "variant_idx").join(windows.select("window", "h_start", "h_end"), "window")
     close = (F.col("variant_idx") - F.col("h_start") < near) | (F.col("h_end") - F.col("variant_idx") < near)
     return rows.agg(F.sum("wrong").alias("n_wrong"), F.sum(F.when(close, F.col("wrong")).otherwise(0)).alias("n_near_edge"))
 
@@ -96,10 +99,36 @@ def width_bin_errors(errors: DataFrame, windows: DataFrame) -> DataFrame:
     """Error rate by typed width of the window: up to 20, 50, 100, 200 or more."""
     width = F.col("x_end") - F.col("x_start") + 1
     bin_ = F.when(width <= 20, 20).when(width <= 50, 50).when(width <= 100, 100).when(width <= 200, 200).otherwise(1000)
-    rows = errors.join(windows, errors["variant_idx"].between(windows["h_start"], windows["h_end"]))
+    rows = errors.join(window_variants(windows), "variant_idx").join(windows.select("window", "x_start", "x_end"), "window")
     return rows.groupBy(bin_.alias("width_bin")).agg(F.sum("wrong").alias("n_wrong"), F.sum("n").alias("n"))
 
 
 def pruned_samples(best: DataFrame, most: float) -> DataFrame:
     """Samples whose mean window score is `most` or less."""
     return best.groupBy("sample_idx").agg(F.avg("score").alias("mean_score")).filter(F.round("mean_score", 6) <= most)
+
+
+def score_histogram(best: DataFrame, step: float) -> DataFrame:
+    """Windows of each sample by score, in bins of width `step`: (sample_idx, bin, n), bin b from b * step on."""
+    return best.groupBy("sample_idx", F.floor(F.round(F.col("score") / step, 6)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def record_counts(genotypes: DataFrame) -> DataFrame:
+    """Records and samples of a table of genotypes."""
+    return genotypes.agg(F.count_distinct("variant_idx").alias("n_records"), F.count_distinct("sample_idx").alias("n_samples"))
+
+
+def without_populations(owners: DataFrame, populations: list[str]) -> DataFrame:
+    """Reference samples that belong to none of the given populations (a panel that they are left out of)."""
+    return owners.filter(~F.col("population").isin(populations))
+
+
+def quality_filtered(scores: DataFrame, least: float) -> DataFrame:
+    """Variants whose score is `least` or more."""
+    return scores.filter(F.col("score") >= least)
+
+
+def unphased(alleles: DataFrame) -> DataFrame:
+    """(sample_idx, strand, variant_idx, allele) -> (sample_idx, variant_idx, gt): the sum of both strands' alleles, null if one is missing."""
+    rows = alleles.groupBy("sample_idx", "variant_idx").agg(F.sum("allele").alias("s"), F.count("allele").alias("n"))
+    return rows.select("sample_idx", "variant_idx", F.when(F.col("n") == 2, F.col("s")).alias("gt"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "chrom string, pos long, ids array<string>, ref string, alts array<string>, phased boolean, sample_idx int, ds float, a1 int, a2 int"
+SCHEMA = "line int, chrom string, pos long, ids array<string>, ref string, alts array<string>, phased boolean, sample_idx int, ds float, a1 int, a2 int"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def _at(path: str):
@@ -84,24 +87,38 @@ def probabilities(block: bytes) -> tuple[bool, np.ndarray, np.ndarray]:
     return bool(phased), missing, value.reshape(n, 2)
 
 
-def rows(f, info: dict, number: int):
-    """Long-form rows of the next `number` variants; ds counts ALT alleles, a1 and a2 are set where a variant is phased."""
-    for _ in range(number):
+def rows(f, info: dict, number: int, first: int = 0):
+    """An Arrow batch of long-form rows for each of the next `number` variants; line is the variant's place in the file, ds counts ALT alleles, a1 and a2 are set where a variant is phased."""
+    for line in range(first, first + number):
         (snp, rs, chrom), pos, alleles, block = variant(f, info["zlib"])
         if len(alleles) != 2:
             raise ValueError(f"variant at {pos} isn't biallelic")
         phased, missing, p = probabilities(block)
         # Phased: probability of REF on each strand. Unphased: of REF/REF and of REF/ALT.
         ds = (2 - p.sum(axis=1)) if phased else 2 - 2 * p[:, 0] - p[:, 1]
-        for s in range(len(p)):
-            lost = bool(missing[s])
-            a = [int(1 - q >= 0.5) for q in p[s]] if phased and not lost else [None, None]
-            yield chrom, pos, [x for x in (rs or snp,) if x], alleles[0], alleles[1:], phased, s + 1, None if lost else float(ds[s]), a[0], a[1]
+        n = len(p)
+        same = lambda value, kind: pa.repeat(pa.scalar(value, kind), n)
+        sides = [pa.array((1 - p[:, side] >= 0.5).astype(np.int32), mask=missing) if phased else pa.nulls(n, pa.int32()) for side in (0, 1)]
+        yield pa.RecordBatch.from_arrays(
+            [same(line, pa.int32()), same(chrom, pa.string()), same(pos, pa.int64()), same([x for x in (rs or snp,) if x], pa.list_(pa.string())), same(alleles[0], pa.string()),
+             same(alleles[1:], pa.list_(pa.string())), same(phased, pa.bool_()), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(ds.astype(np.float32), mask=missing), *sides],
+            NAMES,
+        )
 
 
 class Part(InputPartition):
-    def __init__(self, at: int, number: int):
-        self.at, self.number = at, number
+    def __init__(self, at: int, number: int, first: int):
+        self.at, self.number, self.first = at, number, first
+
+
+def indexed_places(path: str) -> list[int] | None:
+    """Where the variants begin, by a .bgi index beside a local file; None where there is none."""
+    if "://" in path or not os.path.exists(path + ".bgi"):
+        return None
+    import sqlite3
+
+    with sqlite3.connect(f"file:{path}.bgi?mode=ro", uri=True) as db:
+        return [at for at, in db.execute("SELECT file_start_position FROM Variant ORDER BY file_start_position")]
 
 
 class BgenReader(DataSourceReader):
@@ -109,20 +126,25 @@ class BgenReader(DataSourceReader):
         self.path, self.per_part = path, per_part
 
     def partitions(self):
+        """By the index where there is one; else by a walk over the variants' headers."""
+        places = indexed_places(self.path)
         with _open(self.path) as f:
             info, out = header(f), []
+            if places is not None and len(places) != info["variants"]:
+                raise ValueError(f"{self.path}.bgi lists {len(places)} variants, the file has {info['variants']}")
             f.seek(info["first"])
             for i in range(info["variants"]):
                 if i % self.per_part == 0:
-                    out.append(Part(f.tell(), min(self.per_part, info["variants"] - i)))
-                variant(f, info["zlib"], skip=True)
+                    out.append(Part(places[i] if places is not None else f.tell(), min(self.per_part, info["variants"] - i), i))
+                if places is None:
+                    variant(f, info["zlib"], skip=True)
         return out
 
     def read(self, partition):
         with _open(self.path) as f:
             info = header(f)
             f.seek(partition.at)
-            yield from rows(f, info, partition.number)
+            yield from rows(f, info, partition.number, partition.first)
 
 
 class BgenSource(DataSource):

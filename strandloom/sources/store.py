@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PANEL = ("variants", "samples", "windows", "unique_all", "unique_typed", "frequency", "typed")
+FLANKED = ("padded", "unique_padded")  # only with overlapping windows
+COMPACT = ".loom"  # what the name of a compact phase result ends in
 
 
 def save_panel(tables: dict[str, DataFrame], path: str) -> None:
-    for name in PANEL:
-        tables[name].write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    """Haplotype tables are dealt out by window, which is what searches and imputation join by."""
+    for name in (*PANEL, *(n for n in FLANKED if n in tables)):
+        table = tables[name].repartition("window") if name.startswith("unique") else tables[name]
+        table.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
 
 
 def load_panel(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     if path.endswith((".vcf", ".vcf.gz", ".bgen")):
         raise ValueError(f"{path} is a raw panel; compress it first with compress_haplotypes")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in PANEL}
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{FLANKED[0]}")
+    flanked = FLANKED if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else ()
+    return {name: spark.read.parquet(f"{path}/{name}") for name in (*PANEL, *flanked)}
 
 
 def save_phase(segments: DataFrame, samples: DataFrame, path: str) -> None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
+
 HEADER = [
     "##fileformat=VCFv4.2",
     "##source=strandloom",
@@ -27,19 +29,18 @@ class Vcf:
         if partitions:
             rows = rows.repartition(partitions)
         f = F.split("value", "\t")
-        fields = rows.select(f[0].alias("chrom"), f[1].cast("long").alias("pos"), F.split(f[2], ";").alias("ids"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), F.split(f[8], ":").alias("format"), f[7].alias("info"), F.slice(f, 10, len(self.sample_ids)).alias("calls"))
-        self.lines = fields
-        order = Window.orderBy("chrom", "pos", "ref")
-        self.variants = fields.select("chrom", "pos", "ids", "ref", "alts", "info").withColumn("variant_idx", F.row_number().over(order))
+        fields = rows.select(F.xxhash64("value").alias("_line"), f[0].alias("chrom"), f[1].cast("long").alias("pos"), F.split(f[2], ";").alias("ids"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), F.split(f[8], ":").alias("format"), f[7].alias("info"), F.slice(f, 10, len(self.sample_ids)).alias("calls"))
+        # Every line has a number of its own, so rows at one position (split multiallelics) stay apart, and calls need no join to their variants.
+        self.lines = numbered(fields, "variant_idx", "pos", "ref", F.array_join("alts", ","), "_line", first="chrom")
+        self.variants = self.lines.select("chrom", "pos", "ids", "ref", "alts", "info", "variant_idx")
 
     def samples(self) -> DataFrame:
         spark = self.lines.sparkSession
         return spark.createDataFrame(list(enumerate(self.sample_ids, 1)), "sample_idx int, sample_id string")
 
     def _calls(self, field: str) -> DataFrame:
-        keyed = self.lines.join(self.variants.select("chrom", "pos", "ref", "variant_idx"), ["chrom", "pos", "ref"])
         at = F.array_position("format", field)
-        calls = keyed.select("variant_idx", at.alias("at"), F.posexplode("calls").alias("n", "call"))
+        calls = self.lines.select("variant_idx", at.alias("at"), F.posexplode("calls").alias("n", "call"))
         value = F.when(F.col("at") > 0, F.try_element_at(F.split("call", ":"), F.col("at").cast("int")))
         return calls.select("variant_idx", (F.col("n") + 1).alias("sample_idx"), value.alias("v"))
 
@@ -75,8 +76,28 @@ def vcf_lines(calls: DataFrame, variants: DataFrame, scores: DataFrame, phased:
     return out.select("variant_idx", F.concat_ws("\t", "chrom", "pos", F.coalesce(F.get("ids", F.lit(0)), F.lit(".")), "ref", F.coalesce(F.get("alts", F.lit(0)), F.lit(".")), F.lit("."), F.lit("PASS"), info, F.lit("GT"), "calls").alias("line"))
 
 
-def write_vcf(lines: DataFrame, sample_ids: list[str], path: str) -> None:
+def joined_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """One file of the parts in a folder, in order, copied stream by stream; parts compressed with gzip make one gzip file. The folder goes."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(conf)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(where))
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
+    for name in names:
+        if name.startswith("part-"):
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+    out.close()
+    fs.delete(where, True)
+
+
+def write_vcf(lines: DataFrame, sample_ids: list[str], path: str, one_file: bool = True) -> None:
+    """lines (variant_idx, line) as a .vcf or .vcf.gz file; with one_file=False as a folder of parts, which together are that file."""
     spark = lines.sparkSession
+    folder = f"{path}.parts" if one_file else path
     head = [*HEADER, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *sample_ids])]
     header = spark.createDataFrame([(i - len(head), text) for i, text in enumerate(head)], "variant_idx int, line string")
-    header.unionByName(lines).repartitionByRange("variant_idx").sortWithinPartitions("variant_idx").select("line").write.text(path)
+    header.unionByName(lines).repartitionByRange("variant_idx").sortWithinPartitions("variant_idx").select("line").write.mode("overwrite").text(folder, compression="gzip" if path.endswith(".gz") else "none")
+    if one_file:
+        joined_parts(spark, folder, path)

@@ -35,6 +35,7 @@ def test_entry(spark):
 
 
 def test_unique_haplotypes_worked_example(spark):
+    # A worked example of nine haplotypes.
     columns = "abbcbdada"
     rows = [(s + 1, h + 1, int(bit)) for h, c in enumerate(columns) for s, bit in enumerate({"a": "00", "b": "01", "c": "10", "d": "11"}[c])]
     hap = spark.createDataFrame(rows, "variant_idx int, hap_idx int, allele int")
@@ -78,7 +79,7 @@ def test_files_end_to_end(spark, tmp_path, options):
     truth = _files(tmp_path)
     ref, tgt, out = str(tmp_path / "ref.vcf.gz"), str(tmp_path / "target.vcf"), str(tmp_path / "out.vcf")
     api.compress_haplotypes(spark, ref, tgt, str(tmp_path / "panel"), d=6)
-    result = api.phase(spark, tgt, str(tmp_path / "panel"), ref, out, **options)
+    result = api.phase(spark, tgt, str(tmp_path / "panel"), out, **options)
     wrong = [r for r in result.dosage.collect() if r["g"] != truth[r["sample_idx"] - 1, r["variant_idx"] - 1]]
     assert len(wrong) <= 2
     back = vcf.Vcf(spark, out)
@@ -92,22 +93,34 @@ def test_compact_round_trip_and_ancestry(spark, tmp_path):
     _files(tmp_path)
     ref, tgt, where = str(tmp_path / "ref.vcf.gz"), str(tmp_path / "target.vcf"), str(tmp_path / "panel")
     api.compress_haplotypes(spark, ref, tgt, where, d=6)
-    result = api.phase(spark, tgt, where, ref, str(tmp_path / "compact"))
-    dosage, _ = api.convert_compressed(spark, str(tmp_path / "compact"), ref)
+    result = api.phase(spark, tgt, where, str(tmp_path / "compact.loom"))
     key = ["sample_idx", "variant_idx", "a1", "a2"]
-    assert sorted(map(tuple, dosage.select(*key).collect())) == sorted(map(tuple, result.dosage.select(*key).collect()))
+    for decoder in (ref, where):  # by the full panel and by the compressed one
+        dosage, _ = api.convert_compressed(spark, str(tmp_path / "compact.loom"), decoder)
+        assert sorted(map(tuple, dosage.select(*key).collect())) == sorted(map(tuple, result.dosage.select(*key).collect()))
     tables = store.load_panel(spark, where)
     pops = spark.createDataFrame([(f"r{s}", "EUR" if s % 2 else "AFR") for s in range(20)], "sample_id string, population string")
-    q = api.admixture_global(result, tables, pops, ["AFR", "EUR"])
+    q_out, out = str(tmp_path / "t.Q"), str(tmp_path / "t.loom")
+    q = api.admixture_global(spark, tgt, where, pops, ["AFR", "EUR"], q_out, out)
     assert all(r["AFR"] + r["EUR"] == pytest.approx(1) for r in q.collect())
-    wide, paint = api.admixture_local(result, tables, pops, ["AFR", "EUR"], ["red", "blue"])
+    assert sorted(map(tuple, q.drop("sample_idx").collect())) == sorted(map(tuple, api.global_admixture(result, tables, pops, ["AFR", "EUR"]).drop("sample_idx").collect()))
+    written = spark.read.csv(q_out, header=True)
+    assert written.columns == ["AFR", "EUR"] and written.count() == 4 and store.load_phase(spark, out)[0].count() == result.segments.count()
+    wide, paint = api.admixture_local(spark, tgt, where, pops, ["AFR", "EUR"], ["red", "blue"], out)
     assert wide.count() == 8 and all(r["s"] == pytest.approx(1) for r in paint.groupBy("sample_idx", "strand").agg(F.sum("frac").alias("s")).collect())
     with pytest.raises(ValueError):
-        api.admixture_global(result, tables, pops, ["AFR"])
+        api.admixture_global(spark, tgt, where, pops, ["AFR"], q_out, out)
     with pytest.raises(ValueError):
-        api.admixture_local(result, tables, pops, ["AFR", "EUR"], ["red"])
-    with pytest.raises(ValueError):
-        api.phase(spark, tgt, where, ref, str(tmp_path / "x"), phase=False)
+        api.admixture_local(spark, tgt, where, pops, ["AFR", "EUR"], ["red"], out)
+    with pytest.raises(ValueError, match="phased"):
+        api.phase(spark, tgt, where, str(tmp_path / "x.loom"), phase=False)
+    with pytest.raises(ValueError, match="must end in"):
+        api.phase(spark, tgt, where, str(tmp_path / "x"))
+    text = result.report()
+    assert text.startswith(f"Total windows = {tables['windows'].count()}, averaging") and "pair search" in text and "phasing" in text
+    statistics = api.panel_statistics(spark, where)
+    assert statistics["summary"].first()["n_windows"] == statistics["widths"].count() == statistics["haplotypes"].count()
+    result.release()
     with pytest.raises(ValueError):
         store.load_panel(spark, ref)
 
@@ -173,10 +186,18 @@ def test_search_stream(spark, tmp_path):
     x = Fixture(spark, DATA)
     x.geno().coalesce(1).write.parquet(str(tmp_path / "in"))
     unique = x.unique().cache()
-    running = search_stream(spark.readStream.schema("variant_idx int, sample_idx int, gt int").parquet(str(tmp_path / "in")), x.windows, x.typed, unique, str(tmp_path / "out"), str(tmp_path / "check"))
+    running = search_stream(spark.readStream.schema("variant_idx int, sample_idx int, gt int").parquet(str(tmp_path / "in")), x.windows, x.typed, unique, panel.allele_frequency(x.hap), str(tmp_path / "out"), str(tmp_path / "check"))
+    running.processAllAvailable()
+    running.stop()
+    together = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).drop("batch").collect()))
+    assert len(together) == 80
+    # Two batches give every sample the result that one gives.
+    for n in (0, 1):
+        x.geno().filter(f"sample_idx % 2 = {n}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in2"))
+    running = search_stream(spark.readStream.schema("variant_idx int, sample_idx int, gt int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in2")), x.windows, x.typed, unique, panel.allele_frequency(x.hap), str(tmp_path / "out2"), str(tmp_path / "check2"))
     running.processAllAvailable()
     running.stop()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 80
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out2")).drop("batch").collect())) == together
 
 
 def test_connected_path_over_all_pairs(spark, tmp_path):
@@ -223,11 +244,11 @@ def test_bgen_sample_names(spark, tmp_path):
     bgen.write_bgen(tgt, target, names=["Ann", "Bö", "C"])
     assert names() == ["Ann", "Bö", "C"]
     api.compress_haplotypes(spark, ref, tgt, where, d=6)
-    result = api.phase(spark, tgt, where, ref, out)
+    result = api.phase(spark, tgt, where, out)
     assert vcf.Vcf(spark, out).sample_ids == ["Ann", "Bö", "C"]
     assert [r["sampleID"] for r in spark.read.csv(str(tmp_path / "out.sample.error"), header=True).collect()] == ["Ann", "Bö", "C"]
     pops = spark.createDataFrame([(f"r{s}", "EUR" if s % 2 else "AFR") for s in range(10)], "sample_id string, population string")
-    assert all(r["AFR"] + r["EUR"] == pytest.approx(1) for r in api.admixture_global(result, store.load_panel(spark, where), pops, ["AFR", "EUR"]).collect())
+    assert all(r["AFR"] + r["EUR"] == pytest.approx(1) for r in api.global_admixture(result, store.load_panel(spark, where), pops, ["AFR", "EUR"]).collect())
     (tmp_path / "t.sample").write_text("ID_1 ID_2 missing\n0 0 0\nf1 x 0\nf1 y 0\nf2 z 0\n")
     assert names() == ["x", "y", "z"]
     (tmp_path / "t.sample").write_text("ID sex\n0 D\nx 1\n")
@@ -263,5 +284,111 @@ def test_rescreen_beside_screening(spark, monkeypatch):
 
     monkeypatch.setattr(api.search, "pair_search", search)
     with pytest.raises(Reached):
-        api.phase_tables(x.geno(), {"typed": x.typed, "windows": x.windows, "unique_typed": unique}, x.hap, stepwise=2, rescreen=True)
+        api.phase_tables(x.geno(), {"typed": x.typed, "windows": x.windows, "unique_typed": unique, "variants": x.variants}, stepwise=2, rescreen=True)
     assert asked["strategy"] == "stepwise" and asked["rescreen"] is True
+
+
+def test_split_multiallelic_lines_stay_apart(spark, tmp_path):
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\n"
+    lines = [("5", "C", "0|1", "1|1"), ("5", "G", "0|0", "1|0"), ("9", "T", "0|0", "0|1"), ("5", "C", "1|0", "1|1"), ("70000", "T", "1|1", "0|0")]
+    (tmp_path / "x.vcf").write_text(head + "".join(f"1\t{pos}\tr\tA\t{alt}\t.\t.\t.\tGT\t{a}\t{b}\n" for pos, alt, a, b in lines))
+    found = vcf.Vcf(spark, str(tmp_path / "x.vcf"))
+    variants = {r["variant_idx"]: (r["pos"], r["alts"][0]) for r in found.variants.collect()}
+    assert [variants[i] for i in range(1, 6)] == [(5, "C"), (5, "C"), (5, "G"), (9, "T"), (70000, "T")]
+    got = {}
+    for r in found.genotypes().collect():
+        got.setdefault(r["variant_idx"], {})[r["sample_idx"]] = r["gt"]
+    assert sum(map(len, got.values())) == 10 and got[3] == {1: 0, 2: 1} and got[5] == {1: 2, 2: 0}
+    assert found.haplotypes().count() == 20
+
+
+def test_output_as_one_gzip_file_and_as_parts(spark, tmp_path):
+    _files(tmp_path)
+    ref, tgt, where = str(tmp_path / "ref.vcf.gz"), str(tmp_path / "target.vcf"), str(tmp_path / "panel")
+    api.compress_haplotypes(spark, ref, tgt, where, d=6)
+    out = tmp_path / "out.vcf.gz"
+    api.phase(spark, tgt, where, str(out)).release()
+    assert out.is_file() and not (tmp_path / "out.vcf.gz.parts").exists()
+    with gzip.open(out, "rt") as f:
+        text = f.read().splitlines()
+    assert text[0] == "##fileformat=VCFv4.2" and [line.split("\t")[1] for line in text if line[0] != "#"] == [str(100 + i) for i in range(24)]
+    api.phase(spark, tgt, where, str(tmp_path / "parts.vcf"), one_file=False).release()
+    assert (tmp_path / "parts.vcf").is_dir() and vcf.Vcf(spark, str(tmp_path / "parts.vcf")).variants.count() == 24
+    assert len(spark.read.csv(str(tmp_path / "out.sample.error"), header=True).collect()) == 4
+
+
+def test_overlapping_windows(spark, tmp_path):
+    truth = _files(tmp_path)
+    ref, tgt, where, out = str(tmp_path / "ref.vcf.gz"), str(tmp_path / "target.vcf"), str(tmp_path / "panel"), str(tmp_path / "out.vcf")
+    for overlap in (-0.1, 1.1):
+        with pytest.raises(ValueError):
+            api.compress_haplotypes(spark, ref, tgt, where, d=4, overlap=overlap)
+    api.compress_haplotypes(spark, ref, tgt, where, d=4, overlap=0.5)
+    tables = store.load_panel(spark, where)
+    widths = {r["window"]: r["w"] for r in tables["padded"].selectExpr("window", "cast(x_end_pad - x_start_pad + 1 as int) as w").collect()}
+    assert {r["window"]: r["w"] for r in tables["unique_padded"].selectExpr("window", "length(bits) as w").distinct().collect()} == widths
+    assert sum(widths.values()) > tables["typed"].count()
+    result = api.phase(spark, tgt, where, out, scale_allelefreq=True)
+    assert sum(r["g"] != truth[r["sample_idx"] - 1, r["variant_idx"] - 1] for r in result.dosage.collect()) <= 4
+
+
+def test_vcf_to_plink(spark, tmp_path):
+    _files(tmp_path)
+    plink.vcf_to_plink(spark, str(tmp_path / "target.vcf"), str(tmp_path / "p"))
+    found = vcf.Vcf(spark, str(tmp_path / "target.vcf"))
+    variants, samples, genotypes = plink.read_plink(spark, str(tmp_path / "p"))
+    rows = lambda df: sorted((r["variant_idx"], r["sample_idx"], -1 if r["gt"] is None else r["gt"]) for r in df.collect())
+    assert rows(genotypes) == rows(found.genotypes())
+    assert [r["sample_id"] for r in samples.orderBy("sample_idx").collect()] == found.sample_ids
+    key = lambda df: [(r["pos"], r["ids"], r["ref"], r["alts"]) for r in df.orderBy("variant_idx").collect()]
+    assert key(variants) == key(found.variants)
+
+
+def test_bgen_by_index(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "x.bgen")
+    p = np.array([[1, 0], [0, 0], [1, 1]], float)
+    bgen.write_bgen(path, [("1", 5, "a", "A", "C", True, p), ("1", 5, "b", "A", "G", True, p[::-1]), ("1", 9, "c", "G", "T", True, p)])
+    read = lambda: sorted(map(str, api.import_target(spark, path).genotypes.collect()))
+    plain = read()
+    assert len(plain) == 9
+    with bgen._open(path) as f:
+        info, places = bgen.header(f), []
+        f.seek(info["first"])
+        for _ in range(3):
+            places.append(f.tell())
+            bgen.variant(f, True, skip=True)
+    with sqlite3.connect(path + ".bgi") as db:
+        db.execute("CREATE TABLE Variant (file_start_position INT)")
+        db.executemany("INSERT INTO Variant VALUES (?)", [(at,) for at in places])
+    assert bgen.indexed_places(path) == places and read() == plain
+    with sqlite3.connect(path + ".bgi") as db:
+        db.execute("DELETE FROM Variant WHERE file_start_position = ?", (places[0],))
+    with pytest.raises(Exception, match="lists 2 variants"):
+        read()
+
+
+def test_order_across_blocks(spark):
+    from strandloom.operators import order
+
+    rng = np.random.default_rng(3)
+    at = sorted(rng.choice(400_000, 300, replace=False).tolist())
+    df = spark.createDataFrame([("b" if i % 3 else "a", p, None if i % 4 else float(i)) for i, p in enumerate(at)], "chrom string, pos int, v double").repartition(5)
+    found = order.numbered(df, "n", "pos", first="chrom").orderBy("n").collect()
+    assert [r["n"] for r in found] == list(range(1, 301)) and [(r["chrom"], r["pos"]) for r in found] == sorted((r["chrom"], r["pos"]) for r in found)
+    near = {r["pos"]: (r["before"], r["after"]) for r in order.neighbours(df, "v", "pos").collect()}
+    for i, p in enumerate(at):
+        assert near[p] == (float(i - i % 4), float(i + -i % 4) if i + -i % 4 < 300 else None)
+
+
+def test_guards(spark):
+    from strandloom.operators.search import pair_search
+
+    unique = spark.createDataFrame([(1, 1, "01", 1, 1), (1, 2, "10", 2, 2)], "window int, hap_idx int, bits string, rep int, unique_idx int")
+    for x, text in (([0.0, 1.0, 2.0], "variants"), ([0.0, float("nan")], "not finite")):
+        vectors = spark.createDataFrame([(1, 1, x, [True] * len(x))], "window int, sample_idx int, x array<double>, seen array<boolean>")
+        with pytest.raises(Exception, match=text):
+            pair_search(vectors, unique).collect()
+    with pytest.raises(ValueError, match="strategy"):
+        pair_search(vectors, unique, "auto")

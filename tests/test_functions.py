@@ -11,6 +11,7 @@ from strandloom.functions import search as S
 NAN = np.nan
 
 
+# Expected break points of worked examples.
 @pytest.mark.parametrize("x, expected", [([0, 0, 0, 1, 1, 1], (3, 0)), ([0, 0, 1, 1, 1, 1], (2, 0)), ([NAN, 0, 1, 1, 1, 1], (2, 0)), ([0, 0, 0, NAN, 1, 2], (3, 1))])
 def test_single_breakpoint(x, expected):
     zero, one = np.zeros(6), np.ones(6)
@@ -18,6 +19,7 @@ def test_single_breakpoint(x, expected):
 
 
 def test_connect_pairs_and_error():
+    # A worked example of four windows.
     pairs = [list(itertools.product(a, b)) for a, b in (((1, 2, 3), (4, 5, 6)), ((1, 2, 6), (5, 7, 8)), ((1, 3), (1, 5)), ((4, 5, 8), (4, 6, 8)))]
     assert P.connect_pairs(pairs) == (1.0, [(1, 5), (1, 5), (1, 5), (5, 4)])
     assert [P.pair_error(*p) for p in (((1, 2), (2, 3)), ((2, 5), (5, 2)), ((1, 2), (3, 4)))] == [1, 0, 4]
@@ -50,15 +52,44 @@ def test_double_breakpoint_is_the_first_least(x, i, k, j, l):
 @given(st.lists(bits, min_size=1, max_size=7, unique_by=tuple), st.lists(st.sampled_from([0.0, 0.5, 1.0, 2.0]), min_size=5, max_size=5))
 def test_searches_against_loops(h, x):
     h, x = np.array(h, float), np.array(x)
-    m = S.sums(h)
     pairs = [(round(float(((x - h[j] - h[k]) ** 2).sum()), 6), k, j) for k in range(len(h)) for j in range(k + 1)]
     least = min(pairs)
-    assert S.best_pair(x, h, m) == (least[2], least[1], least[0])
+    one = lambda found: next(iter(found))
+    x = x[None, :]
+    assert one(S.best_pairs(x, h)) == (least[2], least[1], least[0])
     first = pairs.index(least)
     kept = [p for p in pairs[first:] if p[0] <= least[0] + 3][:100]
-    assert S.rescreened(x, h, m, np.ones(5, bool))[2] == pytest.approx(min(p[0] for p in kept))
-    assert S.stepwise(x, h, m, r=len(h))[2] == least[0]
-    assert S.thinned(x, h, len(h))[2] == least[0]
+    assert one(S.rescreened(x, h, np.ones((1, 5), bool)))[2] == pytest.approx(min(p[0] for p in kept))
+    assert one(S.stepwise(x, h, r=len(h)))[2] == least[0]
+    assert one(S.thinned(x, h, len(h)))[2] == least[0]
+
+
+weight = st.lists(st.sampled_from([0.5, 1.0, 3.0]), min_size=6, max_size=6)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), weight, st.integers(1, 5))
+def test_weighted_searches_against_loops(seed, w, r):
+    rng = np.random.default_rng(seed)
+    h = np.unique(rng.integers(0, 2, (9, 6)), axis=0).astype(float)
+    x, w = rng.integers(0, 3, (3, 6)).astype(float), np.array(w)
+    error = lambda s, j, k: round(float((w * (s - h[j] - h[k]) ** 2).sum()), 6)
+    for s, found in zip(x, S.best_pairs(x, h, w)):
+        assert found == min((error(s, j, k), k, j) for k in range(len(h)) for j in range(k + 1))[::-1]
+    for s, (j, k, score) in zip(x, S.stepwise(x, h, r, w)):
+        n = [(-round(float(2 * (w * s * row).sum()), 6), i) for i, row in enumerate(h)]
+        top = [i for _, i in sorted(n)[:r]]
+        assert score == error(s, j, k) and (r >= len(h) or score == min(error(s, i, b) for i in top for b in range(len(h))))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_a_noise_free_target_is_found(seed):
+    rng = np.random.default_rng(seed)
+    h = np.unique(rng.integers(0, 2, (12, 8)), axis=0).astype(float)
+    x = h[rng.integers(0, len(h), 5)] + h[rng.integers(0, len(h), 5)]
+    for strategy in (S.rescreened(x, h, np.ones(x.shape, bool)), S.best_pairs(x, h, np.full(8, 2.0)), S.thinned(x, h, len(h))):
+        assert all(score == 0 and (h[j] + h[k] == s).all() for s, (j, k, score) in zip(x, strategy))
 
 
 def test_survivor_fold_tiles_and_restarts():
