@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,15 @@ def remove_path(spark: SparkSession, path: str) -> None:
     _WRITTEN.discard(path)
 
 
+def sweep(folder: str, manifest: DataFrame) -> None:
+    """Delete the files in a folder that a written manifest doesn't list: those of lost or repeated attempts."""
+    kept = {row["path"].rpartition("/")[2] for row in manifest.select("path").toLocalIterator()}
+    system, base = fs.FileSystem.from_uri(folder)
+    for info in system.get_file_info(fs.FileSelector(base)):
+        if info.is_file and info.base_name not in kept:
+            system.delete_file(info.path)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all that operators have left in the shared folder for this application. Results of operators are lazy and read those tables, so write them first."""
     for path in list(_WRITTEN):

@@ -1,16 +1,21 @@
 """WARC archives without repeated payloads.
 
-Payloads of `minimum` bytes or more are shuffled by SHA-256 digest; of equal ones the page with the least page_id is
-written as a response, the others as revisit records that refer to it (profile identical-payload-digest). Record ids
-follow from page ids, so a revisit names its original without another look-up. Records are gzip members of their
+Headers (page_id, url, SHA-256 digest and length) of payloads of `minimum` bytes or more are shuffled by digest, payloads are not. Of equal
+ones the page with the least page_id is written as a response, the others as revisit records that refer to it (profile
+identical-payload-digest), which need no payload. Where a page's payload lies, a bitmap of the revisits tells which pages are surely
+responses; those are written from there. Only pages that share a place of the bitmap with a revisit are shuffled, with their payloads, to be
+looked up: about one in a hundred while revisits are fewer than a hundredth of its 2 ** 24 places, more beyond, at worst all.
+Digests that many pages share are aggregated before the shuffle and joined by a join that Spark splits.
+
+Record ids follow from page ids, so a revisit names its original without another look-up. Records are gzip members of their
 own; a task starts a new archive beyond `file_bytes`. Archives get names of their own in the shared folder, and the
-manifest, which Spark commits, lists those that count: files of lost or repeated attempts are never read.
+manifest, which Spark commits, lists those that count; files of lost or repeated attempts are never read, and are deleted.
 
 Reading checks every response's length and digest, and revisits are resolved by joining them to the responses that
 they refer to.
 
-Cases: a null payload is empty; payloads below `minimum` are always responses. Rows that repeat a page_id with the
-same payload are all responses if the id is the least of its group. A null page_id is written without an id and comes back null.
+Cases: a null payload is empty; payloads below `minimum` are always responses, and aren't shuffled. Rows that repeat a page_id with the
+same payload are all responses if the id is the least of its group. A null page_id is written without an id and comes back null; it is never an original that others refer to.
 Other columns are ignored. An empty table makes no archive.
 """
 
@@ -25,9 +30,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches, text_or_empty, written
+from .common import bitmap, fresh_path, may_be_in, remove, small_batches, sweep, text_or_empty, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+ORDER = ["page_id", "url", "digest", "size", "original", "original_url"]
+LEAST = -(1 << 63)  # stands for a null page_id in a look-up
 MANIFEST = "path string, records long, bytes long"
 RECORD = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string"
 RECORD_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
@@ -43,9 +50,10 @@ def header_value(value: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in value or "")
 
 
-def record(page_id, url, payload: bytes, digest: str, original, original_url, date: str) -> bytes:
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    revisit = original is not None and original != page_id
+def record(page_id, url, payload: bytes | None, size: int, digest: str, original, original_url, date: str) -> bytes:
+    """A response with its payload, or without one a revisit of the original."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+    revisit = payload is None
     block = http if revisit else http + payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", date),
@@ -92,9 +100,17 @@ def write_warc(pages: DataFrame, folder: str | None = None, minimum: int = 100,
     system, base = pafs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
     body = text_or_empty("html")
-    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"), (F.octet_length(body) >= minimum).alias("long_enough"))
-    originals = rows.filter("long_enough").groupBy("digest").agg(F.min("page_id").alias("original"), F.min_by("url", "page_id").alias("original_url"), F.lit(True).alias("long_enough"))
-    decided = rows.join(originals, ["digest", "long_enough"], "left")
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).cast("long").alias("size"))
+    headers = rows.filter(F.col("size") >= minimum).select("page_id", "url", "digest", "size")
+    originals = headers.groupBy("digest").agg(F.min("page_id").alias("original"), F.min_by("url", "page_id").alias("original_url"), F.count(F.lit(1)).alias("pages")).filter("pages > 1 and original is not null").drop("pages")
+    revisits = written(headers.join(originals.hint("merge"), "digest").filter("page_id is null or page_id <> original").select(*ORDER), "warc-revisits")
+    key = F.xxhash64("page_id", "digest")
+    places = bitmap(revisits.select(key.alias("key")), "key")
+    looked = rows.withColumn("asked", (F.col("size") >= minimum) & may_be_in(key, places))
+    known = revisits.select(F.coalesce("page_id", F.lit(LEAST)).alias("page"), "digest").distinct()
+    some = looked.filter("asked").withColumn("page", F.coalesce("page_id", F.lit(LEAST))).join(known, ["page", "digest"], "left_anti")
+    plain = [F.lit(None).cast("long").alias("original"), F.lit(None).cast("string").alias("original_url")]
+    responses = looked.filter("not asked").select("page_id", "url", "html", "digest", "size").union(some.select("page_id", "url", "html", "digest", "size")).select("*", *plain)
 
     def write(batches):
         out = name = None
@@ -105,12 +121,13 @@ def write_warc(pages: DataFrame, folder: str | None = None, minimum: int = 100,
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
 
         for batch in batches:
-            for page_id, url, html, digest, original, original_url in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "original", "original_url"))):
+            for page_id, url, html, digest, size_, original, original_url in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "size", "original", "original_url"))):
+                payload = html.as_py()
                 if out is None:
                     name = f"{folder}/archive-{uuid.uuid4().hex}.warc.gz"
                     fs, path = pafs.FileSystem.from_uri(name)
                     out, records, size = fs.open_output_stream(path, compression=None), 0, 0
-                data = member(record(page_id.as_py(), url.as_py(), html.as_py().encode(), digest.as_py(), original.as_py(), original_url.as_py(), date))
+                data = member(record(page_id.as_py(), url.as_py(), None if payload is None else payload.encode(), size_.as_py(), digest.as_py(), original.as_py(), original_url.as_py(), date))
                 out.write(data)
                 records, size = records + 1, size + len(data)
                 if size >= file_bytes:
@@ -119,7 +136,11 @@ def write_warc(pages: DataFrame, folder: str | None = None, minimum: int = 100,
         if out is not None:
             yield finished()
 
-    return written(decided.select("page_id", "url", "html", "digest", "original", "original_url").mapInArrow(write, MANIFEST), "warc-manifest")
+    records_ = responses.unionByName(revisits.withColumn("html", F.lit(None).cast("string")))
+    manifest = written(records_.mapInArrow(write, MANIFEST), "warc-manifest")
+    remove(revisits)
+    sweep(folder, manifest)
+    return manifest
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def texts(seed=1, n=60):
         elif kind < 0.5:
             body = rng.choice([t for t in out if t]).split()
         out.append(rng.choice([" ", "\n", "  "]).join(body))
-    return [*out, " ".join(words(3000) * 3), "x" * 60000, "na " * 500]
+    return [*out, " ".join(words(3000) * 3), "x" * 60000, "na " * 500, "end <|endoftext|> of<|endoftext|>text <|startoftext|>"]
 
 
 def table(spark, rows):
@@ -71,7 +71,6 @@ def empty(spark):
 
 def encoded(name, end, some):
     t = Tokenizer.from_file(str(public_tokenizers.path(name)))
-    t.encode_special_tokens = True
     return [e.ids + [end] for e in t.encode_batch([x or "" for x in some], add_special_tokens=False)]
 
 
@@ -241,6 +240,19 @@ def test_warc(spark, empty):
     assert read_warc(write_warc(df.limit(0))).count() == 0
 
 
+def test_warc_of_repeated_and_null_ids(spark, tmp_path):
+    same, other = "s" * 150, "o" * 150
+    pages = [(None, "n", same), (4, "a", same), (4, "b", same), (7, "c", same), (None, None, other), (None, "x", other), (4, "d", "short"), (4, "e", None), (4, "f", "é" * 60000)]
+    df = spark.createDataFrame([(*p, 1, True, "k") for p in pages], "page_id long, url string, html string, size int, asked boolean, original string").repartition(3)
+    folder = tmp_path / "archives"
+    folder.mkdir()
+    (folder / "archive-lost.warc.gz").write_bytes(b"of a lost attempt")
+    manifest = write_warc(df, f"file://{folder}")
+    found = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in resolve_revisits(read_warc(manifest)).collect())
+    assert found == [(0, 150, "response", 0), (0, 150, "response", 0), (0, 150, "revisit", 4), (4, 0, "response", 0), (4, 5, "response", 0), (4, 150, "response", 0), (4, 150, "response", 0), (4, 120000, "response", 0), (7, 150, "revisit", 4)]
+    assert sorted(f.name for f in folder.iterdir() if f.suffix == ".gz") == sorted(r["path"].rpartition("/")[2] for r in manifest.collect())
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_sharding(spark, rows, empty, hot):
     some = [(i, "same text " * 30) for i in range(1000, 1400)] if hot else []
@@ -268,6 +280,10 @@ def test_token_files(docs, rows, empty, spark):
     assert read_token_files(write_token_files(empty, path, 2)).count() == 0
     found = read_token_files(write_token_files(table(spark, [(None, "b"), (1, "a"), (1, "a")]), path, 2)).collect()
     assert sorted((r["start"], r["doc_id"]) for r in found) == [(0, None), (2, 1), (4, 1)]
+    # Small files: the same ids, in more of them.
+    manifest = write_token_files(docs, path, 2, file_documents=5, batch_bytes=2000)
+    assert manifest.count() > manifest.select("part").distinct().count() and manifest.select("number").distinct().count() > 1
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"], r["ids"]) for r in read_token_files(manifest).collect()} == got
 
 
 def jaccard(rows, n, num, den):
@@ -400,6 +416,46 @@ def test_leaks_with_repeated_shingles():
         assert (fingerprints(some, size) == np.concatenate([fingerprints(some[at : at + size], size) for at in range(61 - size)])).all()
 
 
+def test_index_finds_all_within_the_radius():
+    from strandloom.llm import decontaminate as L
+
+    rng = np.random.default_rng(2)
+    items = L.Items([(i, rng.integers(0, 2**63, 40).astype(np.uint64)) for i in range(60)])
+    prints = items.prints[rng.integers(0, 60, 3000)].copy()
+    for row in prints:
+        for bit in rng.choice(L.BITS, rng.integers(0, 70), replace=False):
+            row[bit // 8] ^= 1 << bit % 8
+    far = np.unpackbits(prints[:, None, :] ^ items.prints[None, :, :], axis=2).sum(axis=2)
+    window, item = items.candidates(prints)
+    assert set(zip(window.tolist(), item.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(far <= L.RADIUS)))) and len(window) > 2000
+
+
+def test_recall_of_leaks_just_above_the_threshold():
+    import pyarrow as pa
+
+    from strandloom.llm.decontaminate import Benchmark
+
+    # Words are replaced one by one, as many as the similarity allows: what is left is between 0.8 and 0.85.
+    rng = random.Random(9)
+    items, copies, expected = [], [], 0
+    for i in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 300))]
+        grams = lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+        base, now = grams(words), list(words)
+        while True:
+            after = list(now)
+            after[rng.randrange(len(after))] = "x"
+            a = grams(after)
+            if sum((a & base).values()) / sum((a | base).values()) < 0.8:
+                break
+            now = after
+        items.append((i, " ".join(words)))
+        copies.append(" ".join(["lead", *now, "end"]))
+    found = Benchmark(items, 5, 0.8).matches(pa.array(copies))
+    hits = sum(any(m["item_id"] == i for m in f) for i, f in enumerate(found))
+    assert hits >= 396 and all(m["item_id"] == i for i, f in enumerate(found) for m in f)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_literal_special_tokens_as_the_library_has_them(name):
     import pyarrow as pa
