@@ -1,9 +1,10 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors: at-signs, URL schemes and identifier cues. From each, a deterministic
-local parser walks outward and validates what it finds: an e-mail address around an at-sign, a network address
-behind a scheme, an IBAN or account number behind a cue. Numbers without a cue (IPv4 addresses, card and
-international phone numbers) begin at digits or a plus sign, which the regular expressions below start from.
+One pass of an Aho-Corasick automaton over the text finds all anchors: at-signs, plus signs before a digit, digits around a dot, digits
+that follow each other directly or by one space or hyphen, URL schemes, and identifier cues. From each, a deterministic local parser walks
+outward and validates what it finds: an e-mail address around an at-sign, an international phone number from a plus sign on, an IPv4 address
+around a dot, a card number from a chain's first two digits on, a network address behind a scheme, an IBAN or account number behind a cue.
+A parser doesn't look at what an earlier find of its kind covers.
 
 Spans are code points, end exclusive. Kinds, in their order: email, ip, card, phone, then url, iban, account.
 Every parser is linear in the text, also in texts of one long run.
@@ -27,16 +28,17 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 SCHEMES = ["http://", "https://", "ftp://"]
-CUES = ["account", "acct", "iban", "konto", "compte", "cuenta", "passport", "ssn"]
+CUES = ["account", "acct", "iban", "konto", "kontonummer", "compte", "cuenta", "passport", "passeport", "pasaporte", "reisepass", "ssn", "social security", "tax id", "routing", "sort code"]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"(?:[^\s/?#@\"'<>]{1,200}@)?((?:[A-Za-z0-9-]+\.)*[A-Za-z0-9-]+)(?::[0-9]{1,5})?(?:[/?#][^\s\"'<>]*)?")
 NUMBER = re.compile(r"[ \t]*(?:number|no\.?|nr\.?|#)?[ \t]*[:=#]?[ \t]*(?:([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})|([0-9](?:[ -]?[0-9]){5,33}))(?![A-Za-z0-9])", re.ASCII)
-DIGIT = re.compile(r"[0-9]")
+DIGITS = "0123456789"
+LOWER = {c: c + 32 for c in range(65, 91)}
 LUHN = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
 
 _AUTOMATON = []
@@ -47,13 +49,10 @@ def automaton():
         import ahocorasick
 
         made = ahocorasick.Automaton()
-        made.add_word("@", ("email", 1))
-        for word in SCHEMES:
-            for form in (word, word.upper(), word.capitalize()):
-                made.add_word(form, ("url", len(word)))
-        for word in CUES:
-            for form in (word, word.upper(), word.capitalize()):
-                made.add_word(form, ("account", len(word)))
+        words = [("@", "email")] + [(word, "url") for word in SCHEMES] + [(word, "account") for word in CUES]
+        words += [("+" + d, "phone") for d in DIGITS] + [(f"{a}.{b}", "ip") for a in DIGITS for b in DIGITS] + [(a + between + b, "card") for a in DIGITS for between in ("", " ", "-") for b in DIGITS]
+        for word, kind in words:
+            made.add_word(word, (kind, len(word)))
         made.make_automaton()
         _AUTOMATON.append(made)
     return _AUTOMATON[0]
@@ -71,29 +70,44 @@ def iban(value: str) -> bool:
 
 def spans(text: str) -> list[tuple[str, int, int]]:
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
-    mail_end = url_end = account_end = 0
-    for end, (kind, length) in automaton().iter(text):
-        if kind == "email":
+    mail_end = ip_end = card_end = phone_end = url_end = account_end = 0
+    for end, (kind, length) in automaton().iter(text.translate(LOWER)):
+        start = end + 1 - length
+        if kind == "card":
+            if start >= card_end:  # else in a chain that has been looked at
+                m = CARD.match(text, start)
+                card_end = m.end()
+                digits = m.group().replace(" ", "").replace("-", "")
+                if 16 <= len(digits) <= 19 and luhn(digits):
+                    found["card"].append(m.span())
+        elif kind == "ip":
+            while start > ip_end and text[start - 1] in DIGITS:
+                start -= 1
+            if start >= ip_end and (m := IP.match(text, start)):
+                ip_end = m.end()
+                if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in m.group().split(".")):
+                    found["ip"].append(m.span())
+        elif kind == "phone":
+            if start >= phone_end and (m := PHONE.match(text, start)):
+                phone_end = m.end()
+                if 8 <= sum(c in DIGITS for c in m.group()) <= 15:
+                    found["phone"].append(m.span())
+        elif kind == "email":
             m = DOMAIN.match(text, end) if end >= mail_end else None
             if m:
-                start = end
                 while start > mail_end and text[start - 1] in LOCAL:
                     start -= 1
                 if start < end:
                     found["email"].append((start, m.end()))
                     mail_end = m.end()
         elif kind == "url":
-            start = end + 1 - length
             if start >= url_end and (not start or not text[start - 1].isalnum()) and (m := URL.match(text, end + 1)) and ("." in m[1] or m[1] == "localhost"):
                 stop = m.end()
                 while text[stop - 1] in ".,;:!?)]}":
                     stop -= 1
                 found["url"].append((start, stop))
                 url_end = stop
-        else:
-            start = end + 1 - length
-            if start and text[start - 1].isalnum():
-                continue
+        elif not start or not text[start - 1].isalnum():
             m = NUMBER.match(text, end + 1)
             if m and m.start() >= account_end:
                 if m[1]:
@@ -103,18 +117,6 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 elif 6 <= sum(c.isdigit() for c in m[2]) <= 20:
                     found["account"].append(m.span(2))
                     account_end = m.end()
-    if DIGIT.search(text):
-        for m in IP.finditer(text):
-            if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in m.group().split(".")):
-                found["ip"].append(m.span())
-        for m in CARD.finditer(text):
-            digits = m.group().replace(" ", "").replace("-", "")
-            if 16 <= len(digits) <= 19 and luhn(digits):
-                found["card"].append(m.span())
-        if "+" in text:
-            for m in PHONE.finditer(text):
-                if 8 <= sum(c in "0123456789" for c in m.group()) <= 15:
-                    found["phone"].append(m.span())
     return [(kind, a, b) for kind in KINDS for a, b in sorted(found[kind])]
 
 

@@ -1,17 +1,17 @@
 """Sharding by histogram sort, in DataFrame operations only.
 
 Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours and a group too large for one
-shard can be cut. The boundaries of shards * slices slices of equal bytes are found by counting: bytes below
+shard can be cut. A shard is made of slices of about `slice_bytes`, at most MOST_SLICES for all shards; so their number grows with the input, and a task sorts one slice. The boundaries of the
+slices, of equal bytes, are found by counting: bytes below
 candidate keys are summed exactly over all rows, first for equal steps of the hash, then only within the cells that
 hold a boundary, in finer steps; within a single hash (equal texts) by doc_id. A boundary is done when its cell
 has at most `tolerance` of a slice's bytes, or a single key. Then the rows are exchanged once, by slice.
 
-The driver gets shards * slices * 2 ** BITS sums a round at most, whatever the input. A slice is the unit of
-sorting, so a task's share falls with `slices`, also when one text makes a third of all rows.
+The driver gets MOST_SLICES * 2 ** BITS sums a round at most, whatever the input; slices are cut also when one text makes a third of all rows.
 
 Cases: a null text has no bytes and counts 1 as every row; null doc_ids come first. Rows equal in text and doc_id
 have one key and stay together; their slots are dealt in any order. An empty table gives no rows. Columns named like
-the result's are replaced.
+the result's are replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import remove, text_or_empty, written
 
-FIRST, BITS = 13, 6
+FIRST, BITS, MOST_SLICES = 13, 6, 8192
+RESULT = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    body = text_or_empty("text")
-    return docs.withColumns({"_h": F.xxhash64(body), "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body.cast("binary"))})
+    """The input's columns as one struct, and what the sort needs beside it; so no name can clash."""
+    body, whole = text_or_empty("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(whole, F.col("doc_id"), F.col("text")).withColumns({"_h": F.xxhash64(body), "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body.cast("binary"))})
 
 
 def _cells(rows: DataFrame, *by: Column) -> list:
@@ -109,11 +111,14 @@ def slice_of(cuts: list[tuple[int, int]]) -> Column:
     return F.expr(search(0, len(cuts)))
 
 
-def histogram_shards(docs: DataFrame, shards: int = 16, slices: int = 16, tolerance: float = 0.01) -> DataFrame:
-    """docs with size, text_crc32, law, shard, slot and grown_shard (null under this law), sizes of shards near equal."""
-    parts = shards * slices
+def histogram_shards(docs: DataFrame, shards: int = 16, slice_bytes: int = 64 << 20, slices: int | None = None, tolerance: float = 0.01) -> DataFrame:
+    """docs with size, text_crc32, law, shard, slot and grown_shard (null under this law), sizes of shards near equal. slices: of each shard, where their number is to be given."""
     keyed = _keyed(docs)
     rows = written(keyed.select("_h", "_d", "size"), "shard-keys")
+    if slices is None:
+        total = rows.agg(F.sum("size")).first()[0] or 0
+        slices = min(max(1, MOST_SLICES // shards), max(4, -(-total // (shards * slice_bytes))))
+    parts = shards * slices
     cuts = splitters(rows, parts, tolerance)
     counts = {r["part"]: r["n"] for r in rows.groupBy(slice_of(cuts).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # parts rows
     remove(rows)
@@ -123,8 +128,10 @@ def histogram_shards(docs: DataFrame, shards: int = 16, slices: int = 16, tolera
         before.append(sum(counts.get(p, 0) for p in range(first, part)))
     placed = keyed.withColumn("_part", slice_of(cuts))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy("_h", "_d"))
-    return placed.withColumns({
+    made = placed.withColumns({
         "law": F.lit("bytes"), "shard": F.floor(F.col("_part") / slices).cast("int"),
         "slot": F.element_at(F.expr(f"array({', '.join(f'{n}L' for n in before)})"), F.col("_part") + 1) + rank - 1,
         "grown_shard": F.lit(None).cast("int"),
-    }).drop("_h", "_d", "_part")
+    })
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in RESULT]
+    return made.select(*own, *RESULT)

@@ -181,6 +181,28 @@ def test_nnpu_risk_separates():
     assert (predicted == y).mean() > 0.9
 
 
+def test_nnpu_risk_against_its_formula(monkeypatch):
+    """Of all steps the one of least risk counts; the risk and its gradient follow the formula, also where the clean part is clipped."""
+    from strandloom.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    row, column = np.nonzero(rng.random((30, 4)) < 0.4)
+    x = np.zeros((30, 4))
+    x[row, column] = 1
+    positive, prior, decay = rng.random(30) < 0.4, 0.3, 1e-3
+
+    def risk(w, b):
+        f = x @ w + b
+        p, u = f[positive], f[~positive]
+        return prior * np.log1p(np.exp(-p)).mean() + max(0, np.log1p(np.exp(u)).mean() - prior * np.log1p(np.exp(p)).mean()) + decay / 2 * (w @ w)
+
+    values = [risk(*toxicity.fit_nnpu(row, column, positive, prior, 4, rounds=n, decay=decay)) for n in range(1, 60)]
+    assert values[0] == pytest.approx(risk(np.zeros(4), np.log(prior / (1 - prior)))) and all(b <= a + 1e-12 for a, b in zip(values, values[1:])) and values[-1] < values[0] - 0.01
+    # No small change of the weights is better by much after many rounds (the bias is bounded from above).
+    w, b = toxicity.fit_nnpu(row, column, positive, prior, 4, rounds=4000, decay=decay)
+    assert all(risk(w + rng.normal(size=4) * 0.05, b - abs(rng.normal()) * 0.05) > risk(w, b) - 2e-3 for _ in range(200))
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     bad = ["vile", "scum", "idiot"]
@@ -256,9 +278,10 @@ def test_warc_of_repeated_and_null_ids(spark, tmp_path):
 @pytest.mark.parametrize("hot", [False, True])
 def test_sharding(spark, rows, empty, hot):
     some = [(i, "same text " * 30) for i in range(1000, 1400)] if hot else []
-    docs = table(spark, [*rows[:60], *some, (7, rows[7][1]), (None, "no id")])
-    found = histogram_shards(docs.drop("size", "shard"), shards=4, slices=4).collect()
-    assert len(found) == docs.count()
+    docs = table(spark, [*rows[:60], *some, (7, rows[7][1]), (None, "no id")]).selectExpr("*", "'x' as _h", "doc_id as _d", "1 as _part", "'y' as `row`", "'z' as `a.b`", "2 as Slot")
+    found = histogram_shards(docs, shards=4, slices=4).collect()
+    assert len(found) == docs.count() and {(r["_h"], r["_part"], r["row"], r["a.b"], r["_d"] == r["doc_id"]) for r in found} <= {("x", 1, "y", "z", True), ("x", 1, "y", "z", None)}
+    assert set(found[0].asDict()) == ({*docs.columns} - {"Slot"}) | {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
     load, slots = Counter(), defaultdict(list)
     for r in found:
         data = (r["text"] or "").encode()
@@ -271,6 +294,22 @@ def test_sharding(spark, rows, empty, hot):
     assert histogram_shards(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_splitters_against_sorting(spark, hot):
+    """Each splitter leaves as many bytes below it as its target, within the tolerance or the bytes of one key."""
+    from strandloom.llm import sharding
+
+    rng = random.Random(6)
+    rows = [(rng.choice([5, 5 << 40, -(1 << 62)]) if hot and rng.random() < 0.6 else rng.randrange(-(1 << 63), 1 << 63), i, rng.randint(1, 2000)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "_h long, _d long, size long").repartition(3)
+    cuts, total = sharding.splitters(df, 16, 0.01), sum(s for *_, s in rows)
+    assert len(cuts) == 15 and cuts == sorted(cuts)
+    for j, cut in enumerate(cuts, 1):
+        below = sum(s for h, d, s in rows if (h, d) < cut)
+        assert abs(below - total * j // 16) <= max(0.01 * total / 16, 2000)
+    assert sharding.splitters(df.limit(0), 16, 0.01) == []
+
+
 def test_token_files(docs, rows, empty, spark):
     path, at = str(public_tokenizers.path("byte_bpe_50k.json")), 0
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"], r["ids"]) for r in read_token_files(write_token_files(docs, path, 2)).collect()}
@@ -469,3 +508,73 @@ def test_literal_special_tokens_as_the_library_has_them(name):
     expected = [e.ids for e in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
     assert len(expected[0]) == 1
     assert [ids[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])] == expected
+
+
+def test_query_of_toxicity(spark):
+    """The registered query: columns, folds, and errors on rows that were held out, by their labels."""
+    data = "/root/testdata/sf0.01"
+    found = queries.op4_toxicity(spark, data).collect()
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    assert len(found) == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in found if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    assert len(held) > 40 and sum(a == b for a, b in held) / len(held) > 0.85
+
+
+def test_query_of_personal_data(spark):
+    data = "/root/testdata/sf0.001"
+    texts_ = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    found = queries.op10_pii(spark, data).collect()
+    assert len(found) == len(texts_)
+    for r in found:
+        spans = [(k, *m.span()) for k, p, ok in PATTERNS for m in p.finditer(texts_[r["doc_id"]]) if ok(m.group())]
+        assert {k: r[f"n_{k}"] for k in pii.BASE} == {k: sum(s[0] == k for s in spans) for k in pii.BASE}
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and (not spans or r["spans"].startswith(listed))
+
+
+def test_query_of_sharding(spark):
+    data = "/root/testdata/sf0.001"
+    found = queries.op7_sharding(spark, data).collect()
+    texts_ = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in found} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in texts_.items()}
+    load = Counter()
+    for r in found:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - sum(load.values()) / 16 <= max(r["size"] for r in found) + sum(load.values()) / 1600
+    groups = defaultdict(set)
+    for r in found:
+        groups[texts_[r["doc_id"]]].add(r["shard"])
+    assert all(max(g) - min(g) < len(g) for g in groups.values())  # copies are neighbours
+
+
+def test_query_of_nearest_neighbours(spark):
+    """Recall against brute force; see also the README's figures at larger sizes."""
+    for scale in ("sf0.001", "sf0.1"):
+        rows = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").select("vec_id", "embedding").collect()
+        ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        got = defaultdict(dict)
+        for r in queries.op2_nearest_neighbours(spark, f"/root/testdata/{scale}").collect():
+            got[r["query_id"]][r["rank"]] = r["vec_id"]
+        hits = total = 0
+        for at in np.flatnonzero(ids % 50 == 0):
+            s = np.round(unit @ unit[at], 12)
+            s[at] = -9
+            best = ids[np.lexsort((ids, -s))[:5]]
+            assert sorted(got[ids[at]]) == [1, 2, 3, 4, 5]
+            hits, total = hits + len(set(best) & set(got[ids[at]].values())), total + 5
+        assert hits / total >= 0.95
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    data, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name_ in ("documents", "pages"):
+        con.execute(f"create view {name_} as select * from '{data}/{name_}.parquet'")
+    df, found = queries.queries()[name](spark, data), con.sql(queries.oracle_sql()[name])
+    assert sorted(found.columns) == sorted(df.columns)
+    key = lambda row: tuple((v is None, str(v)) for v in row)
+    assert sorted(map(tuple, df.select(*found.columns).collect()), key=key) == sorted(found.fetchall(), key=key)
