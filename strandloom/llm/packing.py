@@ -139,7 +139,7 @@ class Packer:
         self.rest, self.held = [], 0
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, with_ids: bool = True, block_tokens: int = 1 << 21) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, with_ids: bool = True, block_tokens: int = 1 << 20) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids."""
     names = NAMES + ["ids"] * with_ids
     def rows(pieces):
@@ -158,7 +158,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
     def pack(batches):
         coder = encoder(tokenizer, end_id)
         packer = Packer(window, TaskContext.get().partitionId() << 36, block_tokens)
-        for batch in slices(batches, size=8 << 20):
+        for batch in slices(batches, size=4 << 20):
             ids, bounds = coder.encode(batch.column("text"))
             found = []
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
