@@ -40,13 +40,68 @@ def pieces(segments: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.select("sample_idx", "strand", "hap_label", "window", F.greatest("start", "h_start").alias("lo"), F.least("end", "h_end").alias("hi"), F.col("h_start").alias("at"))
 
 
-def expanded_by_window(segments: DataFrame, windows: DataFrame, unique: DataFrame) -> DataFrame:
-    """As expanded(), from a compressed panel: the join is by window and haplotype, and a piece's alleles are a part of its haplotype's bits there."""
+def strands_by_window(segments: DataFrame, windows: DataFrame, unique: DataFrame) -> DataFrame:
+    """(sample_idx, window, at, bits1, bits2): the alleles of both strands in a window, from a compressed panel; at: the window's first variant.
+
+    The join is by window and haplotype, and a piece's alleles are a part of its haplotype's bits there; no row is made for a single variant.
+    """
     bits = unique.select("window", F.col("hap_idx").alias("hap_label"), "bits")
-    joined = pieces(segments, windows).join(bits, ["window", "hap_label"])
-    part = F.split(F.substring("bits", F.col("lo") - F.col("at") + 1, F.col("hi") - F.col("lo") + 1), "")
-    rows = joined.select("sample_idx", "strand", "lo", F.posexplode(part).alias("n", "allele")).filter("allele <> ''")
-    return rows.select("sample_idx", "strand", (F.col("lo") + F.col("n")).alias("variant_idx"), F.col("allele").cast("int").alias("allele"))
+    part = F.substring("bits", F.col("lo") - F.col("at") + 1, F.col("hi") - F.col("lo") + 1)
+    rows = pieces(segments, windows).join(bits, ["window", "hap_label"]).select("sample_idx", "window", "at", "strand", F.struct("lo", part.alias("part")).alias("piece"))
+
+    def whole(strand):
+        own = F.array_sort(F.collect_list(F.when(F.col("strand") == strand, F.col("piece"))))
+        return F.array_join(F.transform(own, lambda s: s.part), "").alias(f"bits{strand}")
+
+    return rows.groupBy("sample_idx", "window", "at").agg(whole(1), whole(2))
+
+
+def expanded_by_window(segments: DataFrame, windows: DataFrame, unique: DataFrame) -> DataFrame:
+    """As expanded(), from a compressed panel."""
+    return alleles_of(strands_by_window(segments, windows, unique))
+
+
+def _digit(bits, at):
+    return F.substring(bits, at, F.lit(1)).cast("int")
+
+
+def alleles_of(strands: DataFrame) -> DataFrame:
+    """(sample_idx, strand, variant_idx, allele) of strands_by_window()."""
+    both = strands.select("sample_idx", "at", F.posexplode(F.array("bits1", "bits2")).alias("side", "bits"))
+    rows = both.select("sample_idx", (F.col("side") + 1).alias("strand"), "at", F.posexplode(F.split("bits", "")).alias("n", "allele")).filter("allele <> ''")
+    return rows.select("sample_idx", "strand", (F.col("at") + F.col("n")).alias("variant_idx"), F.col("allele").cast("int").alias("allele"))
+
+
+def dosages_of(strands: DataFrame) -> DataFrame:
+    """(sample_idx, variant_idx, a1, a2, g) of strands_by_window(), without a shuffle."""
+    pairs = F.arrays_zip(F.split("bits1", "").alias("x"), F.split("bits2", "").alias("y"))
+    rows = strands.select("sample_idx", "at", F.posexplode(pairs).alias("n", "p")).select("sample_idx", (F.col("at") + F.col("n")).alias("variant_idx"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    return rows.filter("x <> ''").select("sample_idx", "variant_idx", F.col("x").cast("int").alias("a1"), F.col("y").cast("int").alias("a2"), (F.col("x").cast("int") + F.col("y").cast("int")).alias("g"))
+
+
+def squared_errors(strands: DataFrame, vectors: DataFrame, windows: DataFrame, typed: DataFrame) -> DataFrame:
+    """(sample_idx, window, errors): of each observed typed variant of a window (variant_idx, e), e the squared difference of genotype and alleles; a join by sample and window."""
+    spans = windows.select("window", "h_start", F.explode(F.sequence("x_start", "x_end")).alias("x_idx")).join(typed.select("x_idx", "variant_idx"), "x_idx")
+    places = spans.groupBy("window", "h_start").agg(F.array_sort(F.collect_list("variant_idx")).alias("typed"))
+    rows = strands.select("sample_idx", "window", "bits1", "bits2").join(vectors.select("sample_idx", "window", "x", "seen"), ["sample_idx", "window"]).join(places, "window")
+
+    def error(s):
+        at = s["typed"] - F.col("h_start") + 1
+        return F.struct(s["typed"].alias("variant_idx"), F.pow(s["x"] - _digit(F.col("bits1"), at) - _digit(F.col("bits2"), at), F.lit(2.0)).alias("e"))
+
+    zipped = F.filter(F.arrays_zip("typed", "x", "seen"), lambda s: s["seen"])
+    return rows.select("sample_idx", "window", F.transform(zipped, error).alias("errors"))
+
+
+def scores_by_variant(errors: DataFrame, typed: DataFrame) -> DataFrame:
+    """Of squared_errors(): 1 - mean squared error / 4 of each typed variant; null where nothing was observed."""
+    found = errors.select(F.explode("errors").alias("s")).groupBy(F.col("s.variant_idx").alias("variant_idx")).agg((1 - 0.25 * F.avg("s.e")).alias("score"))
+    return typed.select("variant_idx").join(found, "variant_idx", "left")
+
+
+def scores_by_sample(errors: DataFrame) -> DataFrame:
+    total = F.sum(F.aggregate("errors", F.lit(0.0), lambda a, s: a + s["e"]))
+    return errors.groupBy("sample_idx").agg((1 - 0.25 * total / F.nullif(F.sum(F.size("errors")), F.lit(0))).alias("score"))
 
 
 def segment_at(points: DataFrame, segments: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def panel_statistics(spark: SparkSession, panel_dir: str) -> dict[str, DataFrame
 
 @dataclass
 class Phased:
-    """Results of a run. `segments` are kept until release(); the other tables are lazy and read them."""
+    """Results of a run. Segments and what the lazy tables read (windows' alleles and genotypes) are kept until release()."""
 
     labels: DataFrame
     segments: DataFrame
@@ -103,9 +103,11 @@ class Phased:
     variant_scores: DataFrame | None = None
     sample_scores: DataFrame | None = None
     timings: dict = field(default_factory=dict)  # windows, mean_haplotypes, n_typed, n_variants, and seconds of each stage
+    kept: list = field(default_factory=list)
 
     def release(self) -> None:
-        self.segments.unpersist()
+        for table in self.kept:
+            table.unpersist()
 
     def report(self) -> str:
         """The run in lines: windows, unique haplotypes, seconds by stage."""
@@ -147,17 +149,17 @@ def phase_tables(
     segments = impute.bounded(impute.lifted(in_typed, typed), n_variants).persist()
     segments.count()
     timings["phasing_s"] = time.time() - began - timings["pair_search_s"]
-    for done in (best, vectors, labels):
+    for done in (best, labels):
         done.unpersist()
-    alleles = impute.expanded_by_window(segments, windows, tables["unique_all"])
+    strands = impute.strands_by_window(segments, windows, tables["unique_all"]).persist()
+    errors = impute.squared_errors(strands, vectors, windows, typed)
+    dosage = impute.dosages_of(strands)
     if not impute_:
-        alleles = alleles.join(typed.select("variant_idx"), "variant_idx", "left_semi")
-    dosage = impute.dosages(alleles)
-    typed_scores = impute.typed_scores(genotypes, dosage, "variant_idx")
-    out = Phased(labels, segments, timings=timings)
+        dosage = dosage.join(typed.select("variant_idx"), "variant_idx", "left_semi")
+    out = Phased(labels, segments, timings=timings, kept=[segments, strands, vectors])
     out.dosage = dosage if phase else impute.keep_observed(dosage, genotypes)
-    out.variant_scores = impute.variant_scores(typed_scores, tables["variants"] if impute_ else typed)
-    out.sample_scores = impute.typed_scores(genotypes, dosage, "sample_idx")
+    out.variant_scores = impute.variant_scores(impute.scores_by_variant(errors, typed), tables["variants"] if impute_ else typed)
+    out.sample_scores = impute.scores_by_sample(errors)
     return out
 
 
@@ -197,7 +199,7 @@ def convert_compressed(spark: SparkSession, phase_dir: str, reference: str) -> t
     if reference.endswith((".vcf", ".vcf.gz", ".bgen")):
         return impute.dosages(impute.expanded(segments, import_reference(spark, reference)[2])), samples
     tables = store.load_panel(spark, reference)
-    return impute.dosages(impute.expanded_by_window(segments, tables["windows"], tables["unique_all"])), samples
+    return impute.dosages_of(impute.strands_by_window(segments, tables["windows"], tables["unique_all"])), samples
 
 
 def _reference_populations(tables: dict[str, DataFrame], sample_to_population: DataFrame, populations: list[str]) -> DataFrame:

@@ -64,10 +64,19 @@ class Fixture:
         return impute.bounded(impute.lifted(self.mosaic(), self.typed), D.N_VARIANTS)
 
     def dosage(self):
-        return impute.dosages(self.alleles())
+        return impute.dosages_of(self.strands())
+
+    def strands(self):
+        return impute.strands_by_window(self.segments(), self.windows, self.unique(False))
+
+    def errors(self):
+        return impute.squared_errors(self.strands(), self.vectors(), self.windows, self.typed)
+
+    def scores(self):
+        return impute.scores_by_variant(self.errors(), self.typed)
 
     def alleles(self):
-        return impute.expanded_by_window(self.segments(), self.windows, self.unique(False))
+        return impute.alleles_of(self.strands())
 
     def labels(self):
         return phasing.phase_fold(phasing.with_members(self.best(), self.members()))
@@ -75,7 +84,7 @@ class Fixture:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Fixture(spark, sf_dir)
-    return shaped(impute.variant_scores(impute.typed_scores(x.geno(), x.dosage(), "variant_idx"), x.variants), "variant_idx:i score:f typed:b")
+    return shaped(impute.variant_scores(x.scores(), x.variants), "variant_idx:i score:f typed:b")
 
 
 def queries() -> dict:
@@ -438,7 +447,7 @@ def _(x):
 
 @query("impute_typed_only", "sample_idx:i variant_idx:i g:i", "SELECT i.* FROM imp i WHERE variant_idx IN (SELECT variant_idx FROM typed)")
 def _(x):
-    return impute.dosages(x.alleles().join(x.typed.select("variant_idx"), "variant_idx", "left_semi"))
+    return x.dosage().join(x.typed.select("variant_idx"), "variant_idx", "left_semi")
 
 
 @query("fill_missing", "sample_idx:i n_filled:i n_different:i allele_sum:i", "SELECT sample_idx, count(*) FILTER (gt IS NULL) AS n_filled, count(*) FILTER (gt <> g) AS n_different, sum(coalesce(gt, g)) AS allele_sum FROM geno JOIN imp USING (sample_idx, variant_idx) GROUP BY 1")
@@ -448,17 +457,17 @@ def _(x):
 
 @query("snp_score", "variant_idx:i score:f", "SELECT * FROM tscore")
 def _(x):
-    return impute.typed_scores(x.geno(), x.dosage(), "variant_idx")
+    return x.scores()
 
 
 @query("sample_score", "sample_idx:i score:f", "SELECT sample_idx, 1 - 0.25 * avg((gt - g) * (gt - g)) AS score FROM geno JOIN imp USING (sample_idx, variant_idx) GROUP BY 1")
 def _(x):
-    return impute.typed_scores(x.geno(), x.dosage(), "sample_idx")
+    return impute.scores_by_sample(x.errors())
 
 
 @query("untyped_score", "variant_idx:i score:f typed:b", UNTYPED)
 def _(x):
-    return impute.variant_scores(impute.typed_scores(x.geno(), x.dosage(), "variant_idx"), x.variants)
+    return impute.variant_scores(x.scores(), x.variants)
 
 
 @query("decompress_error", "n:i error_rate:f", "SELECT count(*) AS n, avg(CASE WHEN d.g <> i.g THEN 1 ELSE 0 END) AS error_rate FROM dos d JOIN imp i USING (sample_idx, variant_idx)")
@@ -592,7 +601,7 @@ def _(x):
 
 @query("quality_filter", "variant_idx:i score:f", "SELECT * FROM tscore WHERE score >= 0.9")
 def _(x):
-    return stats.quality_filtered(impute.typed_scores(x.geno(), x.dosage(), "variant_idx"), 0.9)
+    return stats.quality_filtered(x.scores(), 0.9)
 
 
 WRONG = "(SELECT variant_idx, count(*) AS n, sum(CASE WHEN d.g <> i.g THEN 1 ELSE 0 END) AS wrong FROM dos d JOIN imp i USING (sample_idx, variant_idx) GROUP BY 1)"
@@ -660,7 +669,7 @@ def _(x):
     from ..sources.vcf import vcf_lines
 
     dosage = x.dosage()
-    return vcf_lines(dosage, x.variants, impute.variant_scores(impute.typed_scores(x.geno(), dosage, "variant_idx"), x.variants), phased=True)
+    return vcf_lines(dosage, x.variants, impute.variant_scores(x.scores(), x.variants), phased=True)
 
 
 FLIPS = """(WITH RECURSIVE two AS (SELECT a.user_id, (a.n + 1) // 2 AS i, a.event_type AS x, b.event_type AS y FROM runs0 a JOIN runs0 b ON b.user_id = a.user_id AND b.n = a.n + 1 WHERE a.n % 2 = 1),
