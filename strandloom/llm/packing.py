@@ -2,8 +2,9 @@
 
 A document's ids are cut into full windows and a remainder. Remainders are gathered in blocks of about
 `block_tokens` ids. For a block, shallow combinations (one to three remainder lengths that fill a window exactly)
-are enumerated, and non-negative least squares finds repeat counts whose lengths sum to the block's histogram.
-Counts are rounded down to what the histogram holds. What is left is packed greedily, longest first, and cut
+are enumerated (for each shortest length its `per_length` most frequent partners: with more of them, counts spread so thin that rounding loses
+them), and non-negative least squares finds repeat counts whose lengths sum to the block's histogram.
+Counts are rounded and held to what the histogram has, and what that leaves is solved for again. What is left then is packed greedily, longest first, and cut
 where a window is full; the open window goes on in the next block, so a task pads one sequence at most.
 
 Blocks are local to a task: no shuffle, bounded memory, and the padding share falls with the input.
@@ -29,7 +30,7 @@ from .tokens import encoder
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def combinations(histogram: np.ndarray, window: int, per_length: int = 12) -> np.ndarray:
+def combinations(histogram: np.ndarray, window: int, per_length: int = 4) -> np.ndarray:
     """Rows of three lengths (0: none) that sum to window, from lengths that occur; for each shortest length the per_length most frequent partners."""
     have = np.flatnonzero(histogram)
     have = have[have > 0]
@@ -71,21 +72,25 @@ def non_negative_least_squares(rows: np.ndarray, histogram: np.ndarray, rounds:
     return x
 
 
-def plan(histogram: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths that fill a window, times); never more of a length than the histogram has."""
-    rows = combinations(histogram, window)
-    if not len(rows):
-        return []
-    x = non_negative_least_squares(rows, histogram)
+def plan(histogram: np.ndarray, window: int, solves: int = 4) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths that fill a window, times); never more of a length than the histogram has. What rounding leaves is solved for again, `solves` times at most."""
     left, out = histogram.copy(), []
-    for i in np.argsort(-x, kind="stable").tolist():
-        lengths = [a for a in rows[i].tolist() if a]
-        need = {a: lengths.count(a) for a in lengths}
-        times = min([int(x[i] + 0.5), *(int(left[a]) // k for a, k in need.items())])
-        if times > 0:
-            for a, k in need.items():
-                left[a] -= k * times
-            out.append((tuple(lengths), times))
+    for _ in range(solves):
+        rows = combinations(left, window)
+        if not len(rows):
+            break
+        x = non_negative_least_squares(rows, left)
+        before = len(out)
+        for i in np.argsort(-x, kind="stable").tolist():
+            lengths = [a for a in rows[i].tolist() if a]
+            need = {a: lengths.count(a) for a in lengths}
+            times = min([int(x[i] + 0.5), *(int(left[a]) // k for a, k in need.items())])
+            if times > 0:
+                for a, k in need.items():
+                    left[a] -= k * times
+                out.append((tuple(lengths), times))
+        if len(out) == before:
+            break
     return out
 
 

@@ -247,6 +247,26 @@ def test_packing(docs, rows, empty, window):
     assert pack_documents(empty, path, 1).count() == 0
 
 
+def test_packing_plan():
+    """Least squares against the normal conditions of its optimum, and a plan that cuts far fewer pieces than greedy packing."""
+    from strandloom.llm import packing
+
+    rng = np.random.default_rng(2)
+    histogram = np.bincount(rng.integers(1, 64, 3000), minlength=64)
+    rows = packing.combinations(histogram, 64)
+    assert (rows.sum(axis=1) == 64).all() and ((histogram[rows] > 0) | (rows == 0)).all()
+    x = packing.non_negative_least_squares(rows, histogram, rounds=4000)
+    a = np.stack([np.bincount(r[r > 0], minlength=64) for r in rows], axis=1)
+    slope = a.T @ (a @ x - np.append(0, histogram[1:]))
+    assert (x >= 0).all() and (slope > -0.05).all() and (slope[x > 0.01] < 0.05).all()
+    used = np.zeros(64, int)
+    for lengths, times in packing.plan(histogram, 64):
+        assert sum(lengths) == 64
+        for a_ in lengths:
+            used[a_] += times
+    assert (used <= histogram).all() and used.sum() > 0.9 * histogram.sum()
+
+
 def test_warc(spark, empty):
     pages = [(i, f"http://h/{i}", t) for i, t in enumerate(texts(2, 30), 1)]
     pages += [(101, None, pages[20][2]), (102, "http://x y\n", pages[20][2]), (103, "u", "z" * 99), (104, "u", "z" * 99), (105, "u", "z" * 100), (106, "u", "z" * 100)]
