@@ -86,28 +86,27 @@ def cleanup(spark: SparkSession) -> None:
 BITS = 24
 
 
-def _place(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(1 << BITS)).cast("int")
+def place(hashed: Column) -> Column:
+    """A place in a bitmap by the last bits of a 64-bit hash."""
+    return hashed.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
-def bitmap(ids: DataFrame, name: str) -> np.ndarray:
-    """Which of 2 ** BITS places the ids hash to: a fixed 2 MB, whatever their number."""
-    words = ids.select(_place(F.col(name)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, at & 63))").alias("bits"))
+def bitmap(hashes: DataFrame, name: str) -> np.ndarray:
+    """Which of 2 ** BITS places some 64-bit hashes have: a fixed 2 MB, whatever their number."""
+    words = hashes.select(place(F.col(name)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, at & 63))").alias("bits"))
     table = words.toArrow()  # 2 ** (BITS - 6) rows at most
     out = np.zeros(1 << BITS - 6, np.int64)
     out[table["word"].to_numpy()] = table["bits"].to_numpy()
     return out
 
 
-def may_be_in(column: Column, found: np.ndarray) -> Column:
-    """Whether a value may be among the ids of a bitmap: never false for one that is. Spares others a shuffle; a full bitmap spares none, and loses none."""
+def may_be_in(found: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether hashes (or their places) may be among those of a bitmap: never false for one that is. Spares others a shuffle; a full bitmap spares none, and loses none.
 
-    @F.arrow_udf("boolean")
-    def look(at: pa.Array) -> pa.Array:
-        at = at.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((found[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return look(_place(column))
+    For use inside a task's Python function: a UDF of its own would take a second worker for each task.
+    """
+    at = at.astype(np.int64) & ((1 << BITS) - 1)
+    return (found[at >> 6] >> (at & 63)) & 1 == 1
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

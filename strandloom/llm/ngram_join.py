@@ -287,13 +287,14 @@ def _linked(texts: DataFrame, n: int, num: int, den: int, block: int) -> tuple[D
     def shingled(batches):
         seen = set()
         for batch in slices(batches):
-            rows = [(_class_of(a), _class_of(b, 1), a.tobytes()) for a, b in shingle_sets(batch.column("text"), n, 2) if len(a)]
-            rows = [r for r in rows if r[:2] not in seen and not seen.add(r[:2])]
+            sets = [(_class_of(a), _class_of(b, 1), a) for a, b in shingle_sets(batch.column("text"), n, 2) if len(a)]
+            asked = may_be_in(some_lo, np.array([lo for lo, _, _ in sets], np.int64))
+            rows = [(lo, hi, a.tobytes()) for (lo, hi, a), ask in zip(sets, asked) if ask and (lo, hi) not in seen and not seen.add((lo, hi))]
             if rows:
                 lo, hi, blobs = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(blobs, pa.binary())], ["lo", "hi", "shingles"])
 
-    found = texts.mapInArrow(shingled, "lo long, hi long, shingles binary").filter(may_be_in(F.col("lo"), some_lo))
+    found = texts.mapInArrow(shingled, "lo long, hi long, shingles binary")
     sets = found.join(placed, ["lo", "hi"]).groupBy("lo", "hi", "grp", "block", "blocks").agg(F.first("shingles").alias("shingles"))  # tasks that hold copies of a class send it each
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("grp", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "lo", "hi", "shingles")
@@ -331,20 +332,19 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int
     asked = id_bitmap(gone.union(several), "lo")
 
     @F.arrow_udf("struct<lo:long,hi:long>")
-    def class_of(column: pa.Array) -> pa.Array:
-        made = [[], []]
+    def asked_class(column: pa.Array) -> pa.Array:
+        """The class of each text that may have to go, null for others."""
+        made = []
         for part in slices([pa.RecordBatch.from_arrays([column], ["text"])]):
-            for a, b in shingle_sets(part.column("text"), n, 2):
-                made[0].append(_class_of(a) if len(a) else None)
-                made[1].append(_class_of(b, 1) if len(a) else None)
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in made], ["lo", "hi"])
-
-    name = fresh_name(docs, "class")
-    look = fresh_name(docs, "look")
-    rows = small_batches(docs).withColumn(name, class_of(F.col("text").cast("string")))
-    rows = rows.withColumn(look, F.col(f"{name}.lo").isNotNull() & may_be_in(F.coalesce(F.col(f"{name}.lo"), F.lit(0).cast("long")), asked))
-    gone = gone.select(F.struct("lo", "hi").alias(name))
-    some = rows.filter(look).join(gone, name, "left_anti")
+            made += [(_class_of(a), _class_of(b, 1)) if len(a) else None for a, b in shingle_sets(part.column("text"), n, 2)]
+        there = may_be_in(asked, np.array([0 if m is None else m[0] for m in made], np.int64))
+        made = [m if t else None for m, t in zip(made, there)]
+        lost = pa.array([m is None for m in made], pa.bool_())
+        return pa.StructArray.from_arrays([pa.array([m and m[k] for m in made], pa.int64()) for k in (0, 1)], ["lo", "hi"], mask=lost)
+
+    name, nth = fresh_name(docs, "class"), fresh_name(docs, "nth")
+    rows = small_batches(docs).withColumn(name, asked_class(F.col("text").cast("string")))
+    some = rows.filter(F.col(name).isNotNull()).join(gone.select(F.struct("lo", "hi").alias(name)), name, "left_anti")
     order = Window.partitionBy(name).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text"))
-    kept = some.withColumn(look, F.row_number().over(order)).filter(F.col(look) == 1)
-    return rows.filter(~F.col(look)).select(docs.columns).union(kept.select(docs.columns))
+    kept = some.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
+    return rows.filter(F.col(name).isNull()).select(docs.columns).union(kept.select(docs.columns))

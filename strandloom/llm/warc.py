@@ -25,12 +25,14 @@ import hashlib
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, fresh_path, may_be_in, remove, small_batches, sweep, text_or_empty, written
+from .common import bitmap, fresh_path, may_be_in, place, remove, small_batches, sweep, text_or_empty, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ORDER = ["page_id", "url", "digest", "size", "original", "original_url"]
@@ -93,6 +95,18 @@ def read_records(uri: str, chunk: int = 1 << 20):
             yield fields, rest[: int(fields["Content-Length"])]
 
 
+def _in_bitmap(batch: pa.RecordBatch, places: np.ndarray) -> pa.Array:
+    """Of each row whether it has a place, and that is one of the bitmap's."""
+    at = batch.column("place")
+    found = may_be_in(places, pc.fill_null(at, 0).to_numpy(zero_copy_only=False))
+    return pc.and_(pc.is_valid(at), pa.array(found))
+
+
+def _asked(batches, places):
+    for batch in batches:
+        yield batch.filter(_in_bitmap(batch, places))
+
+
 def write_warc(pages: DataFrame, folder: str | None = None, minimum: int = 100, file_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """pages (page_id, url, html, ...) -> the manifest (path, records, bytes) of the archives, a written table."""
     spark = pages.sparkSession
@@ -106,11 +120,11 @@ def write_warc(pages: DataFrame, folder: str | None = None, minimum: int = 100,
     revisits = written(headers.join(originals.hint("merge"), "digest").filter("page_id is null or page_id <> original").select(*ORDER), "warc-revisits")
     key = F.xxhash64("page_id", "digest")
     places = bitmap(revisits.select(key.alias("key")), "key")
-    looked = rows.withColumn("asked", (F.col("size") >= minimum) & may_be_in(key, places))
+    rows = rows.withColumn("place", F.when(F.col("size") >= minimum, place(key)))
     known = revisits.select(F.coalesce("page_id", F.lit(LEAST)).alias("page"), "digest").distinct()
-    some = looked.filter("asked").withColumn("page", F.coalesce("page_id", F.lit(LEAST))).join(known, ["page", "digest"], "left_anti")
+    some = rows.mapInArrow(lambda it: _asked(it, places), rows.schema).withColumn("page", F.coalesce("page_id", F.lit(LEAST))).join(known, ["page", "digest"], "left_anti")
     plain = [F.lit(None).cast("long").alias("original"), F.lit(None).cast("string").alias("original_url")]
-    responses = looked.filter("not asked").select("page_id", "url", "html", "digest", "size").union(some.select("page_id", "url", "html", "digest", "size")).select("*", *plain)
+    responses = rows.unionByName(some.drop("page").withColumn("place", F.lit(None).cast("int"))).select("*", *plain)
 
     def write(batches):
         out = name = None
@@ -121,6 +135,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, minimum: int = 100,
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
 
         for batch in batches:
+            batch = batch.filter(pc.invert(_in_bitmap(batch, places)))  # those come from the look-up instead
             for page_id, url, html, digest, size_, original, original_url in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "size", "original", "original_url"))):
                 payload = html.as_py()
                 if out is None:
@@ -136,7 +151,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, minimum: int = 100,
         if out is not None:
             yield finished()
 
-    records_ = responses.unionByName(revisits.withColumn("html", F.lit(None).cast("string")))
+    records_ = responses.unionByName(revisits.withColumns({"html": F.lit(None).cast("string"), "place": F.lit(None).cast("int")}))
     manifest = written(records_.mapInArrow(write, MANIFEST), "warc-manifest")
     remove(revisits)
     sweep(folder, manifest)
