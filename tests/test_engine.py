@@ -392,3 +392,24 @@ def test_guards(spark):
             pair_search(vectors, unique).collect()
     with pytest.raises(ValueError, match="strategy"):
         pair_search(vectors, unique, "auto")
+
+
+def test_bisection_of_5000_markers(spark):
+    # 16 windows of 313 and 312 typed markers.
+    rows = spark.range(1, 5001).select(F.col("id").cast("int").alias("x_idx"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("hap_idx"))
+    ranges = panel.bisected(rows.withColumn("allele", (F.xxhash64("x_idx", "hap_idx") % 2 == 0).cast("int")), 5000, d=2, minwidth=157)
+    assert [hi - lo + 1 for lo, hi in ranges] == [313, 312] * 8
+
+
+def test_wide_panel_end_to_end(spark):
+    from strandloom.plans import derive
+
+    made = derive.wide_panel(spark, DATA, copies=6, targets=6)
+    tables = api.compress(made["haplotypes"], made["variants"], made["samples"], made["typed"], d=300, minwidth=40)
+    result = api.phase_tables(made["genotypes"], tables)
+    found = stats.error_rate(made["truth"], result.dosage).first()
+    assert found["n"] == 6 * 384 and found["error_rate"] < 0.05
+    scores = result.variant_scores.collect()
+    assert len(scores) == 384 and all(r["score"] > 0.5 for r in scores)
+    assert result.timings["windows"] == 4 and result.timings["pair_search_s"] > 0
+    result.release()
