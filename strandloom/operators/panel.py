@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import numbered
+from .order import BLOCK, numbered
 
 
 def allele_frequency(haplotypes: DataFrame) -> DataFrame:
@@ -17,20 +17,41 @@ def typed_index(typed: DataFrame, variants: DataFrame) -> DataFrame:
     return numbered(typed.select("pos").join(variants.select("pos", "variant_idx"), "pos"), "x_idx", "variant_idx")
 
 
-def bisected(typed_haplotypes: DataFrame, n_typed: int, d: int = 1000, minwidth: int = 0) -> list[tuple[int, int]]:
+def strands(haplotypes: DataFrame, at: str = "variant_idx") -> DataFrame:
+    """(block, first, hap_idx, bits): alleles of each haplotype by the column `at` (from 1 on, without gaps) as strings, in blocks of BLOCK places. One shuffle; all that follows reads strings."""
+    rows = haplotypes.withColumn("block", F.floor((F.col(at) - 1) / BLOCK)).groupBy("block", "hap_idx")
+    listed = rows.agg(F.min(at).alias("first"), F.array_sort(F.collect_list(F.struct(at, "allele"))).alias("v"))
+    return listed.select("block", "first", "hap_idx", F.array_join(F.transform("v", lambda s: s.allele), "").alias("bits"))
+
+
+def cut(strands_: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, hap_idx, bits) of ranges (key, lo, hi) of places. The ranges, which the driver has made, go to every task; a range is put together from its blocks."""
+    spans = ranges.select(*key, "lo", "hi", F.explode(F.sequence(F.floor((F.col("lo") - 1) / BLOCK), F.floor((F.col("hi") - 1) / BLOCK))).alias("block"))
+    lo = F.greatest("lo", "first")
+    part = F.substring("bits", lo - F.col("first") + 1, F.col("hi") - lo + 1)
+    rows = strands_.join(F.broadcast(spans), "block").select(*key, "hap_idx", F.struct("block", part.alias("part")).alias("piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda s: s.part), "")
+    return rows.groupBy(*key, "hap_idx").agg(whole.alias("bits"))
+
+
+def distinct_counts(strands_: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n): different haplotypes of each range; long ones are compared by digest."""
+    bits = F.when(F.length("bits") > 32, F.md5("bits")).otherwise(F.col("bits"))
+    return cut(strands_, ranges, key).groupBy(*key).agg(F.count_distinct(bits).alias("n"))
+
+
+def bisected(strands_: DataFrame, n_typed: int, d: int = 1000, minwidth: int = 0) -> list[tuple[int, int]]:
     """Typed ranges found by halving [1, n_typed] until a range has d distinct haplotypes at most or its half is no wider than minwidth.
 
-    One aggregation per level over the rows (x_idx, hap_idx, allele) of the ranges still open; the driver holds the ranges alone.
+    One aggregation per level over the strings of strands(..., "x_idx"), for the ranges still open; the driver holds the ranges alone.
     """
     if d < 2:
         raise ValueError("d must be 2 or more")
-    spark = typed_haplotypes.sparkSession
+    spark = strands_.sparkSession
     open_, done = [(1, n_typed)], []
     while open_:
-        table = spark.createDataFrame(open_, "lo int, hi int").select("lo", "hi", F.explode(F.sequence("lo", "hi")).alias("x_idx"))
-        rows = typed_haplotypes.join(table, "x_idx").groupBy("lo", "hi", "hap_idx")
-        keys = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x_idx", "allele"))), lambda s: s.allele), "").alias("bits"))
-        counts = {(r["lo"], r["hi"]): r["n"] for r in keys.groupBy("lo", "hi").agg(F.count_distinct("bits").alias("n")).collect()}
+        table = spark.createDataFrame(open_, "lo int, hi int").selectExpr("lo", "hi", "lo as a", "hi as b")
+        counts = {(r["a"], r["b"]): r["n"] for r in distinct_counts(strands_, table, ["a", "b"]).collect()}
         split = []
         for lo, hi in open_:
             mid = (lo + hi) >> 1
@@ -68,26 +89,19 @@ def window_variants(windows: DataFrame) -> DataFrame:
     return windows.select("window", F.explode(F.sequence("h_start", "h_end")).alias("variant_idx"))
 
 
-def padded_variants(padded_: DataFrame, typed: DataFrame) -> DataFrame:
-    """The typed variants of each window with its flanks, by SNP."""
-    spans = padded_.select("window", F.explode(F.sequence(F.col("x_start_pad").cast("int"), F.col("x_end_pad").cast("int"))).alias("x_idx"))
-    return spans.join(typed.select("x_idx", "variant_idx"), "x_idx").select("window", "variant_idx")
-
-
 def inner_rows(padded_: DataFrame) -> DataFrame:
     """(window, x_idx, inner_row): of each typed variant of a window with flanks, whether it is in the window itself."""
     spans = padded_.select("window", F.explode(F.sequence(F.col("x_start_pad").cast("int"), F.col("x_end_pad").cast("int"))).alias("x_idx"), "x_start", "x_end")
     return spans.withColumn("inner_row", F.col("x_idx").between(F.col("x_start"), F.col("x_end")))
 
 
-def unique_haplotypes(haplotypes: DataFrame, windows: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+def unique_haplotypes(strands_: DataFrame, windows: DataFrame, lo: str = "h_start", hi: str = "h_end") -> DataFrame:
     """(window, hap_idx, bits, rep, unique_idx): rep is the first haplotype of the same bits, unique_idx its rank in the window.
 
-    spans (window, variant_idx) are the windows' variants, where they aren't those from h_start to h_end.
-    One shuffle by (window, hap_idx) builds the bits, one by window ranks the representatives only.
+    lo and hi name the windows' columns with the places in the strings of strands(): variant_idx or x_idx, flanks included where they are asked for.
+    One shuffle of strings by (window, hap_idx), one by window that ranks the representatives only.
     """
-    rows = haplotypes.join(window_variants(windows) if spans is None else spans, "variant_idx").groupBy("window", "hap_idx")
-    keyed = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant_idx", "allele"))), lambda s: s.allele), "").alias("bits"))
+    keyed = cut(strands_, windows.select("window", F.col(lo).cast("int").alias("lo"), F.col(hi).cast("int").alias("hi")), ["window"])
     reps = keyed.groupBy("window", "bits").agg(F.min("hap_idx").alias("rep"))
     reps = reps.withColumn("unique_idx", F.row_number().over(Window.partitionBy("window").orderBy("rep")))
     return keyed.join(reps, ["window", "bits"]).select("window", "hap_idx", "bits", "rep", "unique_idx")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import ancestry, impute, panel, phasing, search, validate
 from ..operators.order import numbered
 from ..sources import bgen, plink, store, vcf
+from .settle import settled, unsettle
 
 
 @dataclass
@@ -56,24 +57,26 @@ def import_reference(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 
 def compress(haplotypes: DataFrame, variants: DataFrame, samples: DataFrame, typed_positions: DataFrame, d: int = 1000, minwidth: int = 0, overlap: float = 0.0) -> dict[str, DataFrame]:
-    """The tables of a compressed panel (see sources.store). With overlap, pairs are searched on windows with flanks; all else goes by the windows themselves."""
+    """The tables of a compressed panel (see sources.store). With overlap, pairs are searched on windows with flanks; all else goes by the windows themselves.
+
+    `typed` and the typed haplotypes' strings (`_strands`) are settled for the lazy tables that read them; give them back by unsettle() when those are written.
+    """
     if not 0 <= overlap <= 1:
         raise ValueError("overlap must lie between 0 and 1")
     spark = haplotypes.sparkSession
-    typed = panel.typed_index(typed_positions, variants).persist()
+    typed = settled(panel.typed_index(typed_positions, variants), "typed")
     n_typed, n_variants = typed.count(), variants.agg(F.max("variant_idx")).first()[0]
-    on_typed = haplotypes.join(typed.select("variant_idx", "x_idx"), "variant_idx").persist()
-    ranges = panel.bisected(on_typed.select("x_idx", "hap_idx", "allele"), n_typed, d, minwidth)
-    on_typed.unpersist()
+    whole, on_typed = panel.strands(haplotypes), settled(panel.strands(haplotypes.join(typed.select("variant_idx", "x_idx"), "variant_idx"), "x_idx"), "strands")
+    ranges = panel.bisected(on_typed, n_typed, d, minwidth)
     table = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(ranges, 1)], "window int, x_start int, x_end int")
     windows = panel.windows_from_ranges(table, typed, n_variants)
     out = {
         "variants": variants, "samples": samples, "typed": typed, "windows": windows, "frequency": panel.allele_frequency(haplotypes),
-        "unique_all": panel.unique_haplotypes(haplotypes, windows), "unique_typed": panel.unique_haplotypes(on_typed.drop("x_idx"), windows),
+        "unique_all": panel.unique_haplotypes(whole, windows), "unique_typed": panel.unique_haplotypes(on_typed, windows, "x_start", "x_end"), "_strands": on_typed,
     }
     if overlap:
         out["padded"] = panel.padded(windows, overlap, n_typed)
-        out["unique_padded"] = panel.unique_haplotypes(on_typed.drop("x_idx"), windows, panel.padded_variants(out["padded"], typed))
+        out["unique_padded"] = panel.unique_haplotypes(on_typed, out["padded"], "x_start_pad", "x_end_pad")
     return out
 
 
@@ -84,7 +87,8 @@ def compress_haplotypes(spark: SparkSession, reference: str, target: str, out: s
     validate.checked(typed, variants)
     tables = compress(haplotypes, variants, samples, typed, d, minwidth, overlap)
     store.save_panel(tables, out)
-    tables["typed"].unpersist()
+    for name in ("typed", "_strands"):
+        unsettle(tables[name])
 
 
 def panel_statistics(spark: SparkSession, panel_dir: str) -> dict[str, DataFrame]:
@@ -95,7 +99,7 @@ def panel_statistics(spark: SparkSession, panel_dir: str) -> dict[str, DataFrame
 
 @dataclass
 class Phased:
-    """Results of a run. Segments and what the lazy tables read (windows' alleles and genotypes) are kept until release()."""
+    """Results of a run. Labels, segments and what the lazy tables read (windows' alleles, errors) are kept until release()."""
 
     labels: DataFrame
     segments: DataFrame
@@ -107,7 +111,7 @@ class Phased:
 
     def release(self) -> None:
         for table in self.kept:
-            table.unpersist()
+            unsettle(table)
 
     def report(self) -> str:
         """The run in lines: windows, unique haplotypes, seconds by stage."""
@@ -132,7 +136,7 @@ def phase_tables(
     timings = {"windows": n_windows, "mean_haplotypes": mean, "n_typed": n_typed, "n_variants": n_variants}
     began = time.time()
     filled = search.mean_filled(genotypes)
-    vectors = search.window_vectors(filled, windows, typed).persist()
+    vectors = settled(search.window_vectors(filled, windows, typed), "vectors")
     if "padded" in tables:
         wide = tables["padded"].select("window", F.col("x_start_pad").cast("int").alias("x_start"), F.col("x_end_pad").cast("int").alias("x_end"))
         searched, looked_at, looked_up = wide, search.window_vectors(filled, wide, typed), tables["unique_padded"]
@@ -140,25 +144,26 @@ def phase_tables(
         searched, looked_at, looked_up = windows, vectors, unique
     weights = search.window_weights(searched, typed, search.allele_weights(tables["frequency"])) if scale_allelefreq else None
     strategy = "stepwise" if stepwise else "thinning" if thinning_factor else "rescreen" if rescreen else "global"
-    best = search.pair_search(looked_at, looked_up, strategy, weights, r=stepwise or 1, keep=thinning_factor or 20, max_haplotypes=max_haplotypes, rescreen=rescreen).persist()
-    best.count()
+    best = settled(search.pair_search(looked_at, looked_up, strategy, weights, r=stepwise or 1, keep=thinning_factor or 20, max_haplotypes=max_haplotypes, rescreen=rescreen), "best")
     timings["pair_search_s"] = time.time() - began
-    labels = phasing.phase_fold(phasing.with_members(best, panel.window_haps(looked_up))).persist()
+    labels = settled(phasing.phase_fold(phasing.with_members(best, panel.window_haps(looked_up))), "labels")
     points = phasing.breakpoints(phasing.adjacent(labels, vectors, unique))
     in_typed = phasing.mosaics(labels, points, windows)
-    segments = impute.bounded(impute.lifted(in_typed, typed), n_variants).persist()
-    segments.count()
+    segments = settled(impute.bounded(impute.lifted(in_typed, typed), n_variants), "segments")
     timings["phasing_s"] = time.time() - began - timings["pair_search_s"]
-    for done in (best, labels):
-        done.unpersist()
-    strands = impute.strands_by_window(segments, windows, tables["unique_all"]).persist()
-    errors = impute.squared_errors(strands, vectors, windows, typed)
+    unsettle(best)
+    began = time.time()
+    strands = settled(impute.strands_by_window(segments, windows, tables["unique_all"]), "alleles")
+    errors = settled(impute.squared_errors(strands, vectors, windows, typed), "errors")
+    unsettle(vectors)
+    timings["alleles_s"] = time.time() - began
     dosage = impute.dosages_of(strands)
     if not impute_:
         dosage = dosage.join(typed.select("variant_idx"), "variant_idx", "left_semi")
-    out = Phased(labels, segments, timings=timings, kept=[segments, strands, vectors])
+    scores = settled(impute.scores_by_variant(errors, typed), "scores")
+    out = Phased(labels, segments, timings=timings, kept=[labels, segments, strands, errors, scores])
     out.dosage = dosage if phase else impute.keep_observed(dosage, genotypes)
-    out.variant_scores = impute.variant_scores(impute.scores_by_variant(errors, typed), tables["variants"] if impute_ else typed)
+    out.variant_scores = impute.variant_scores(scores, tables["variants"] if impute_ else typed)
     out.sample_scores = impute.scores_by_sample(errors)
     return out
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import phasing as pure
 from ..operators import ancestry, impute, panel, phasing, search, stats, validate
 from . import derive as D
+from .settle import settled
 from .oracle import BISECTION, BY_BISECTION, POINTS, UNTYPED, path_sql, sql, unique_windows
 
 QUERIES: dict[str, tuple] = {}
@@ -33,17 +34,27 @@ def shaped(df: DataFrame, columns: str) -> DataFrame:
 
 
 class Fixture:
-    """What most queries start from; every member is a lazy plan."""
+    """What most queries start from. Members are lazy plans, but for labels, segments and scores, which several plans read: those are settled, which keeps plans small."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._segments = spark, sf_dir, None
         self.hap, self.windows, self.typed, self.variants = D.haplotypes(spark, sf_dir), D.windows(spark), D.typed(spark), D.variants(spark)
 
     def geno(self):
         return D.genotypes(self.spark, self.dir)
 
     def unique(self, typed: bool = True):
-        return panel.unique_haplotypes(self.hap.filter("variant_idx % 4 <> 0") if typed else self.hap, self.windows)
+        return panel.unique_haplotypes(self.typed_strands(), self.windows, "x_start", "x_end") if typed else panel.unique_haplotypes(panel.strands(self.hap), self.windows)
+
+    def typed_strands(self):
+        return panel.strands(self.hap.join(self.typed.select("variant_idx", "x_idx"), "variant_idx"), "x_idx")
+
+    def bisected(self, **options):
+        """The ranges of bisection with their numbers of different haplotypes."""
+        strands = self.typed_strands().persist()
+        ranges = self.spark.createDataFrame(panel.bisected(strands, 48, **options), "x_start int, x_end int").selectExpr("*", "x_start as lo", "x_end as hi")
+        strands.unpersist()
+        return panel.distinct_counts(self.typed_strands(), ranges, ["x_start", "x_end"]).withColumnRenamed("n", "n_unique")
 
     def vectors(self):
         return search.window_vectors(search.mean_filled(self.geno()), self.windows, self.typed)
@@ -56,12 +67,14 @@ class Fixture:
 
     def mosaic(self, form="label"):
         """Phased segments in typed coordinates."""
-        labels = self.labels()
+        labels = settled(self.labels(), "labels")
         return phasing.mosaics(labels, phasing.breakpoints(phasing.adjacent(labels, self.vectors(), self.unique())), self.windows, form)
 
     def segments(self):
         """Phased segments in panel coordinates: pair search, survivor fold, break points, mosaic, lift."""
-        return impute.bounded(impute.lifted(self.mosaic(), self.typed), D.N_VARIANTS)
+        if self._segments is None:
+            self._segments = settled(impute.bounded(impute.lifted(self.mosaic(), self.typed), D.N_VARIANTS), "segments")
+        return self._segments
 
     def dosage(self):
         return impute.dosages_of(self.strands())
@@ -73,7 +86,7 @@ class Fixture:
         return impute.squared_errors(self.strands(), self.vectors(), self.windows, self.typed)
 
     def scores(self):
-        return impute.scores_by_variant(self.errors(), self.typed)
+        return settled(impute.scores_by_variant(self.errors(), self.typed), "scores")
 
     def alleles(self):
         return impute.alleles_of(self.strands())
@@ -150,11 +163,7 @@ def _(x):
 
 @query("window_bisection", "x_start:i x_end:i n_unique:i", BISECTION)
 def _(x):
-    rows = x.hap.join(x.typed.select("variant_idx", "x_idx"), "variant_idx").select("x_idx", "hap_idx", "allele")
-    ranges = x.spark.createDataFrame(panel.bisected(rows, 48, d=100), "x_start int, x_end int").withColumn("x_idx", F.explode(F.sequence("x_start", "x_end")))
-    bits = rows.join(ranges, "x_idx").groupBy("x_start", "x_end", "hap_idx")
-    keys = bits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x_idx", "allele"))), lambda s: s.allele), "").alias("bits"))
-    return keys.groupBy("x_start", "x_end").agg(F.count_distinct("bits").alias("n_unique"))
+    return x.bisected(d=100)
 
 
 @query("window_boundaries", "window:i x_start:i x_end:i h_start:i h_end:i", "SELECT win AS \"window\", x_start, x_end, CASE WHEN win = 1 THEN 1 ELSE variant_idx END AS h_start, coalesce(lead(variant_idx) OVER (ORDER BY win) - 1, 64) AS h_end FROM win JOIN typed ON x_idx = x_start")
@@ -180,11 +189,7 @@ def _(x):
 @query("window_bisection_minwidth", "x_start:i x_end:i n_unique:i", unique_windows(d=60, minwidth=6))
 def _(x):
     """A range whose half is six wide or less isn't halved, however many haplotypes it has."""
-    rows = x.hap.join(x.typed.select("variant_idx", "x_idx"), "variant_idx").select("x_idx", "hap_idx", "allele")
-    ranges = x.spark.createDataFrame(panel.bisected(rows, 48, d=60, minwidth=6), "x_start int, x_end int").withColumn("x_idx", F.explode(F.sequence("x_start", "x_end")))
-    bits = rows.join(ranges, "x_idx").groupBy("x_start", "x_end", "hap_idx")
-    keys = bits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x_idx", "allele"))), lambda s: s.allele), "").alias("bits"))
-    return keys.groupBy("x_start", "x_end").agg(F.count_distinct("bits").alias("n_unique"))
+    return x.bisected(d=60, minwidth=6)
 
 
 PADDED = "(SELECT win, x_start, x_end, CASE WHEN win = 1 THEN x_start ELSE greatest(1, x_start - 2) END AS lo, CASE WHEN win = 8 THEN x_end ELSE least(48, x_end + 2) END AS hi FROM win)"
@@ -201,7 +206,7 @@ def _(x):
     """Search on windows with flanks of two typed variants on each side."""
     wide = panel.padded(x.windows, 0.3, 48)
     spans = wide.select("window", F.col("x_start_pad").cast("int").alias("x_start"), F.col("x_end_pad").cast("int").alias("x_end"))
-    unique = panel.unique_haplotypes(x.hap, x.windows, panel.padded_variants(wide, x.typed))
+    unique = panel.unique_haplotypes(x.typed_strands(), wide, "x_start_pad", "x_end_pad")
     return search.pair_search(search.window_vectors(search.mean_filled(x.geno()), spans, x.typed), unique)
 
 
@@ -481,7 +486,8 @@ def _(x):
 
     samples = x.hap.select(F.ceil(F.col("hap_idx") / 2).cast("int").alias("sample_idx")).distinct().withColumn("sample_id", F.concat(F.lit("r"), "sample_idx"))
     tables = compress(x.hap, x.variants, samples, x.typed, d=100)
-    return phase_tables(x.geno(), tables).variant_scores
+    read = ("windows", "unique_all", "unique_typed")  # several times; a panel would be read from its files
+    return phase_tables(settled(x.geno(), "genotypes"), tables | {name: settled(tables[name], name) for name in read}).variant_scores
 
 
 # Ancestry

@@ -40,20 +40,21 @@ def test_unique_haplotypes_worked_example(spark):
     rows = [(s + 1, h + 1, int(bit)) for h, c in enumerate(columns) for s, bit in enumerate({"a": "00", "b": "01", "c": "10", "d": "11"}[c])]
     hap = spark.createDataFrame(rows, "variant_idx int, hap_idx int, allele int")
     windows = spark.createDataFrame([(1, 1, 2, 1, 2)], "window int, x_start int, x_end int, h_start int, h_end int")
-    found = panel.unique_haplotypes(hap, windows).orderBy("hap_idx").collect()
+    found = panel.unique_haplotypes(panel.strands(hap), windows).orderBy("hap_idx").collect()
     assert [r["unique_idx"] for r in found] == [1, 2, 2, 3, 2, 4, 1, 4, 1]
     assert sorted({r["rep"] for r in found}) == [1, 2, 4, 6]
-    assert {r["rep"]: r["members"] for r in panel.window_haps(panel.unique_haplotypes(hap, windows)).filter("n_members > 1").collect()} == {1: [1, 7, 9], 2: [2, 3, 5], 6: [6, 8]}
+    assert {r["rep"]: r["members"] for r in panel.window_haps(panel.unique_haplotypes(panel.strands(hap), windows)).filter("n_members > 1").collect()} == {1: [1, 7, 9], 2: [2, 3, 5], 6: [6, 8]}
 
 
 def test_bisection_widths(spark):
     rng = np.random.default_rng(0)
     rows = [(x, h, int(a)) for h in range(1, 40) for x, a in enumerate(rng.integers(0, 2, 40), 1)]
     hap = spark.createDataFrame(rows, "x_idx int, hap_idx int, allele int")
-    ranges = panel.bisected(hap, 40, d=8)
+    strands = panel.strands(hap, "x_idx")
+    ranges = panel.bisected(strands, 40, d=8)
     assert ranges[0][0] == 1 and ranges[-1][1] == 40 and all(a[1] + 1 == b[0] for a, b in zip(ranges, ranges[1:]))
     with pytest.raises(ValueError):
-        panel.bisected(hap, 40, d=1)
+        panel.bisected(strands, 40, d=1)
 
 
 def _files(tmp_path, n_variants=24, n_ref=20, n_target=4):
@@ -397,7 +398,7 @@ def test_guards(spark):
 def test_bisection_of_5000_markers(spark):
     # 16 windows of 313 and 312 typed markers.
     rows = spark.range(1, 5001).select(F.col("id").cast("int").alias("x_idx"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("hap_idx"))
-    ranges = panel.bisected(rows.withColumn("allele", (F.xxhash64("x_idx", "hap_idx") % 2 == 0).cast("int")), 5000, d=2, minwidth=157)
+    ranges = panel.bisected(panel.strands(rows.withColumn("allele", (F.xxhash64("x_idx", "hap_idx") % 2 == 0).cast("int")), "x_idx"), 5000, d=2, minwidth=157)
     assert [hi - lo + 1 for lo, hi in ranges] == [313, 312] * 8
 
 
@@ -413,3 +414,13 @@ def test_wide_panel_end_to_end(spark):
     assert len(scores) == 384 and all(r["score"] > 0.5 for r in scores)
     assert result.timings["windows"] == 4 and result.timings["pair_search_s"] > 0
     result.release()
+
+
+def test_strings_across_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    h = rng.integers(0, 2, (5, 40))
+    hap = spark.createDataFrame([(v + 1, i + 1, int(h[i, v])) for i in range(5) for v in range(40)], "variant_idx int, hap_idx int, allele int").repartition(3)
+    monkeypatch.setattr(panel, "BLOCK", 7)
+    ranges = spark.createDataFrame([("a", 1, 40), ("b", 8, 8), ("c", 6, 22), ("d", 15, 21)], "name string, lo int, hi int")
+    found = {(r["name"], r["hap_idx"]): r["bits"] for r in panel.cut(panel.strands(hap), ranges, ["name"]).collect()}
+    assert found == {(n, i + 1): "".join(map(str, h[i, lo - 1 : hi])) for n, lo, hi in (("a", 1, 40), ("b", 8, 8), ("c", 6, 22), ("d", 15, 21)) for i in range(5)}
