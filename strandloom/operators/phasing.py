@@ -106,3 +106,14 @@ def connect_pairs(candidates: DataFrame, penalty: float = 1.0) -> DataFrame:
         return pd.DataFrame([(pdf["sample_idx"].iloc[0], w, a, b, error) for w, (a, b) in zip(windows, path)], columns=["sample_idx", "window", "hap1", "hap2", "best_err"])
 
     return candidates.groupBy("sample_idx").applyInPandas(run, "sample_idx int, window int, hap1 int, hap2 int, best_err double")
+
+
+def survivor_overlap(candidates: DataFrame) -> DataFrame:
+    """(sample_idx, window, m1, m2) -> sizes of the intersections with the window before: n1 and n2 strand by strand, crossed for both strands crossed over."""
+    order = Window.partitionBy("sample_idx").orderBy("window")
+    rows = candidates.withColumns({"o1": F.lag("m1").over(order), "o2": F.lag("m2").over(order)}).filter("o1 is not null")
+
+    def common(a, b):
+        return F.size(F.array_intersect(a, b))
+
+    return rows.select("sample_idx", "window", common("o1", "m1").alias("n1"), common("o2", "m2").alias("n2"), (common("o1", "m2") + common("o2", "m1")).alias("crossed"))

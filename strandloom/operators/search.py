@@ -132,3 +132,13 @@ def redundant_pairs(best: DataFrame, members: DataFrame, limit: int = 1000) -> D
     pairs = F.flatten(F.transform(F.slice("m1", F.lit(1), F.ceil(limit / F.size("m2")).cast("int")), lambda a: F.transform(F.slice("m2", 1, limit), lambda b: F.struct(a.alias("h1"), b.alias("h2")))))
     rows = both.select("sample_idx", "window", F.posexplode(F.slice(pairs, 1, limit)).alias("n", "p"))
     return rows.select("sample_idx", "window", (F.col("n") + 1).alias("pair_no"), "p.h1", "p.h2")
+
+
+def top_haplotypes(vectors: DataFrame, unique: DataFrame, r: int) -> DataFrame:
+    """(sample_idx, window, unique_idx, n, nth): the r unique haplotypes of largest N = 2 x h of each sample and window, ties to the smaller index; r is the report's size."""
+    reps = unique.filter("hap_idx = rep").select("window", "unique_idx", "bits")
+    at = F.sequence(F.lit(0), F.size("x") - 1)
+    n = F.aggregate(F.transform(at, lambda i: 2 * F.get("x", i) * F.substring("bits", i + 1, F.lit(1)).cast("double")), F.lit(0.0), lambda a, b: a + b)
+    order = Window.partitionBy("sample_idx", "window").orderBy(F.round("n", 6).desc(), "unique_idx")
+    rows = vectors.join(reps, "window").withColumn("n", n).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= r)
+    return rows.select("sample_idx", "window", "unique_idx", "n", "nth")

@@ -335,11 +335,7 @@ def _(x):
 
 @query("top_haplotypes", "sample_idx:i window:i unique_idx:i n:f nth:i", "SELECT sample_idx, win AS \"window\", u AS unique_idx, n, nth FROM (SELECT *, row_number() OVER (PARTITION BY sample_idx, win ORDER BY round(n, 6) DESC, u) AS nth FROM xn) WHERE nth <= 5")
 def _(x):
-    reps = x.unique().filter("hap_idx = rep")
-    at = F.sequence(F.lit(0), F.size("x") - 1)
-    n = F.aggregate(F.transform(at, lambda i: 2 * F.get("x", i) * F.substring("bits", i + 1, F.lit(1)).cast("double")), F.lit(0.0), lambda a, b: a + b)
-    rows = x.vectors().join(reps.select("window", "unique_idx", "bits"), "window").withColumn("n", n)
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("sample_idx", "window").orderBy(F.round("n", 6).desc(), "unique_idx"))).filter("nth <= 5")
+    return search.top_haplotypes(x.vectors(), x.unique(), 5)
 
 
 OBSERVED = "SELECT b.sample_idx, b.win, b.hap1, b.hap2, b.turn, sum(CASE WHEN x.gt IS NULL THEN 0 ELSE (x.gt - p.allele - q.allele) * (x.gt - p.allele - q.allele) END) AS err FROM ({tries}) b JOIN wx x ON x.sample_idx = b.sample_idx AND x.win = b.win JOIN hap p ON p.hap_idx = b.hap1 AND p.variant_idx = x.variant_idx JOIN hap q ON q.hap_idx = b.hap2 AND q.variant_idx = x.variant_idx GROUP BY 1, 2, 3, 4, 5"
@@ -402,17 +398,18 @@ def _(x):
 
 @query("survivor_overlap", "sample_idx:i window:i n1:i n2:i crossed:i", "SELECT b.sample_idx, b.win AS \"window\", len(list_intersect(p.members, pp.members)) AS n1, len(list_intersect(q.members, qq.members)) AS n2, len(list_intersect(p.members, qq.members)) + len(list_intersect(q.members, pp.members)) AS crossed FROM best b JOIN best a ON a.sample_idx = b.sample_idx AND a.win = b.win - 1 JOIN mem p ON p.win = a.win AND p.rep = a.hap1 JOIN mem q ON q.win = a.win AND q.rep = a.hap2 JOIN mem pp ON pp.win = b.win AND pp.rep = b.hap1 JOIN mem qq ON qq.win = b.win AND qq.rep = b.hap2")
 def _(x):
-    order = Window.partitionBy("sample_idx").orderBy("window")
-    rows = phasing.with_members(x.best(), x.members()).withColumns({"o1": F.lag("m1").over(order), "o2": F.lag("m2").over(order)}).filter("o1 is not null")
-    n = lambda a, b: F.size(F.array_intersect(a, b))
-    return rows.select("sample_idx", "window", n("o1", "m1").alias("n1"), n("o2", "m2").alias("n2"), (n("o1", "m2") + n("o2", "m1")).alias("crossed"))
+    return phasing.survivor_overlap(phasing.with_members(x.best(), x.members()))
 
 
 # Imputation, scores, decompression
 
 @query("segment_ranges", "user_id:i seg_no:i start:i end:i label:s", "SELECT * FROM eseg")
 def _(x):
-    return D.event_segments(x.spark, x.dir)
+    """A segment runs to the next one's start, the last one to the user's last event."""
+    runs = D.event_segments(x.spark, x.dir)
+    total = runs.groupBy("user_id").agg(F.max("end").alias("total"))
+    starts = runs.drop("end").join(total, "user_id").select(F.col("user_id").alias("sample_idx"), F.lit(1).alias("strand"), "seg_no", "start", "label", "total")
+    return impute.bounded(starts, F.col("total")).withColumnRenamed("sample_idx", "user_id")
 
 
 @query("segment_expand", "sample_idx:i strand:i variant_idx:i allele:i", "SELECT * FROM alleles")
