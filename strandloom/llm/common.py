@@ -127,10 +127,12 @@ def connected_components(edges: DataFrame, tag: str = "components", max_rounds:
     Alternates the large-star and small-star steps, whose number of rounds grows with the
     logarithm of the node count. Each round is aggregation and join only, written to the shared
     folder; nothing but two numbers (row count and checksum) reaches the driver.
+    A node with a great many edges is one row for each task in the aggregation; the join gets an exchange of its own for the aggregated side, so
+    that both sides come right from exchanges and Spark can split such a node's rows (joined in place, they would share the aggregation's partitions).
     """
     def nearest(df: DataFrame) -> DataFrame:
         least = df.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least"))
-        return df.join(least, "src")
+        return df.join(least.repartition(F.xxhash64("src")), "src")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())

@@ -309,16 +309,16 @@ def _texts(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block: int = 600_000) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block: int = 200_000) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     classed, firsts, nodes = _linked(_texts(docs), n, num, den, block)
     least = firsts.join(nodes, ["lo", "hi"]).groupBy("root").agg(F.min("rep").alias("component_id"))
     known = firsts.join(nodes.join(least, "root"), ["lo", "hi"], "left").select("lo", "hi", F.coalesce("component_id", "rep").alias("component_id"))
-    out = classed.join(known, ["lo", "hi"], "left")
+    out = classed.join(known.repartition("hi"), ["lo", "hi"], "left")  # an exchange of its own lets Spark split a class of many copies
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def without_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = 600_000) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = 200_000) -> DataFrame:
     """docs with one row of each component: one of its smallest doc_id, of several the one of the least text hash; rows without words all stay.
 
     Decided row by row, so rows that repeat a doc_id or have none are treated as all others. Only rows that may have to go are shuffled.
