@@ -6,6 +6,7 @@ Hashes are 64 bits wide; two independent ones serve where equality decides a res
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Let the system have what a task has freed, where the C library can; else a worker holds its peak until the next task."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about size bytes of text, short batches joined and long ones cut; a longer text is a batch of its own."""
     held, weight = [], 0
@@ -67,6 +76,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             held.append(batch.slice(lo))
     if held:
         yield _joined(held)
+        held = []
+    give_back()
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
