@@ -144,6 +144,26 @@ def test_nearest_neighbours(spark):
     assert nearest_neighbours(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_neighbours_in_hot_buckets(spark):
+    """A third of all rows are one vector, others near copies of it: buckets are dealt to several parts, and ties go to the smallest ids."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[100:300] = x[100]
+    x[300:400] = x[100] + rng.normal(size=(100, 16)).astype(np.float32) * 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(150, x[5].tolist()), (150, x[100].tolist())], "vec_id long, embedding array<float>").repartition(4)
+    wanted = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest_neighbours(df, F.col("vec_id") % 50 == 0, reach=100.0).orderBy("query_id", "rank").collect()]
+    for options in ({"block": 16, "part_rows": 40}, {"block": 16, "part_rows": 10_000}, {"block": 10_000, "part_rows": 40}):
+        found = nearest_neighbours(df, F.col("vec_id") % 50 == 0, reach=100.0, **options).orderBy("query_id", "rank")
+        assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()] == wanted
+    assert [v for q, _, v, _ in wanted if q == 100] == [101, 102, 103, 104, 105] and [v for q, _, v, _ in wanted if q == 200] == [100, 101, 102, 103, 104]
+    exact = x.astype(float)
+    for q in range(0, 600, 50):
+        s = np.round(exact @ exact[q] / np.linalg.norm(exact, axis=1) / np.linalg.norm(exact[q]), 12)
+        s[q] = -9
+        if q != 150:
+            assert [v for a, _, v, _ in wanted if a == q] == np.lexsort((np.arange(600), -s))[:5].tolist()
+
+
 def test_decontamination(spark, docs, rows, empty):
     long = next(t for _, t in rows if t and len(t.split()) == 80).split()
     items = [(1, " ".join(long[10:50]).upper()), (2, " ".join(long[10:48] + ["zzz"] + long[49:50])), (3, "one"), (4, None), (5, ""), (6, "never seen anywhere in these texts at all"), (1, "two words")]
