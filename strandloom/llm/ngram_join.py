@@ -6,9 +6,15 @@ percent_den * |A and B| >= percent_num * |A or B|. Documents with equal sets are
 Routing. Two linked sets of at most m shingles differ in at most k = floor((1 - t) / (1 + t) * 2 m) shingles. The
 shingles' hash space is cut into more than k cells, so linked sets agree in all shingles of all but k cells. A set is
 written once per cell under the hash of the cell's shingles, in its size group (and in the next, if a partner may be there); the
-cells that hold the fewest shingles are left out, as many as leave one to agree in. The classes under one key are
-tied to the first of them: linear in the input, also where a third of all documents share a key. Connected ties give
-groups that hold every link, and few other documents.
+cells that hold the fewest shingles are left out, as many as leave one to agree in. The classes under one key make a star
+about the least of them: linear in the input, also where a third of all documents share a key. Each star is taken once, however many keys make it.
+
+Sketches. Documents that share a passage or a turn of phrase share a key now and then. To tie all of a star would chain such documents
+to ever larger groups as the input grows, and large groups are searched block against block. So each class has a
+sketch, the parities of its shingles in a few cells: sets differ in as many shingles as their sketches do, or more. In a star only classes that may link by their
+sizes and sketches are tied, by as many ties as connect them. Stars beyond a budget of comparisons or bytes are tied whole, so no link is lost.
+Connected ties give groups that hold every link, and few other documents.
+
 Shingles of passages that many documents share would tie those. Postings are counted over all documents in 2 ** COUNTERS
 counters; shingles whose counter stands out of the mean don't take part in the cells, which loses no link, for sets
 without them differ no more. Sets whose rare shingles leave too many cells empty go by their whole sets besides.
@@ -45,7 +51,8 @@ from .text import Words, mix, slices, utf8, windows
 
 COUNTERS, SEGMENTS, FAN = 22, 64, 64  # counters of postings (a power of two), parts they are summed in, tasks whose counts one task adds up
 GROWTH = 1.5  # largest size of a group of sizes over its smallest
-CLASSED = "doc_id long, lo long, hi long, n_shingles int"
+BUDGET = 1 << 24  # comparisons of sketches in a star, and bytes a task holds of one
+CLASSED = "doc_id long, lo long, hi long, n_shingles int, sketch binary"
 LINK_NAMES = ["lo", "hi", "lo2", "hi2"]
 
 
@@ -151,11 +158,87 @@ def _class_of(a: np.ndarray, kind: int = 0) -> int:
     return int(mix(np.array([a.sum() + np.uint64(kind * len(a))])).view(np.int64)[0])
 
 
-def _classed(batches, n):
+def sketch(a: np.ndarray, num: int, den: int) -> bytes:
+    """Parities of the number of shingles in a power of two of cells, about 4 to 8 for each shingle that a linked set of this size may differ in.
+
+    Two sets differ in as many shingles as their parities do, or more. The cells go by a hash's last bits, so a sketch can be folded.
+    """
+    bits = 1 << max(6, (4 * difference(len(a), num, den) - 1).bit_length())
+    odd = np.bincount((a & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(one: int, bits: int, to: int) -> int:
+    """A sketch of fewer bits of the same set."""
+    while bits > to:
+        bits >>= 1
+        one = (one >> bits) ^ (one & ((1 << bits) - 1))
+    return one
+
+
+def forest(sets: list[tuple[int, int, int]], num: int, den: int, budget: int = BUDGET) -> list[tuple[int, int]]:
+    """Edges that connect sets, each (number of shingles, bits of its sketch, sketch), as all pairs do that may link by size and sketch.
+
+    Every link is such a pair. Beyond the budget of comparisons all that aren't connected yet are, so that none is lost.
+    """
+    edges, left = [], list(range(len(sets)))
+    while left:
+        reached = [left.pop()]
+        while reached and left:
+            p, far = reached.pop(), []
+            n, bits, one = sets[p]
+            least, most = -(-n * num // den), n * den // num
+            budget -= len(left)
+            for q in left:
+                m, other, two = sets[q]
+                if budget >= 0:
+                    if not least <= m <= most:
+                        far.append(q)
+                        continue
+                    differ = one ^ two if bits == other else folded(one, bits, other) ^ folded(two, other, bits)
+                    if differ.bit_count() > (den - num) * (n + m) // (den + num):
+                        far.append(q)
+                        continue
+                edges.append((p, q))
+                reached.append(q)
+            left = far
+    return edges
+
+
+def _near(batches, num, den):
+    """Stars in rows sorted by their centre (least): edges (src, dst) that connect a star's classes as all pairs do that may link."""
+    held, centre, weight = [], None, 0
+
+    def edges():
+        return [(held[p][0], held[q][0]) for p, q in forest([x[1:] for x in held], num, den)]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["src", "dst"])
+
+    out = []
+    for batch in batches:
+        for least, lo, size, blob in zip(*(batch.column(c).to_pylist() for c in ("least", "lo", "n_shingles", "sketch"))):
+            if least != centre:
+                out += edges()
+                held, centre, weight = [], least, 0
+            held.append((lo, size, 8 * len(blob), int.from_bytes(blob, "little")))
+            weight += len(blob) + 100
+            if weight > BUDGET:  # more than a task should hold: all are connected
+                out += [(x[0], least) for x in held]
+                held = []
+        if len(out) > 4096:
+            yield batch_of(out)
+            out = []
+    out += edges()
+    if out:
+        yield batch_of(out)
+
+
+def _classed(batches, n, num, den):
     for batch in slices(batches):
-        rows = [(_class_of(a), _class_of(b, 1), len(a)) if len(a) else (0, 0, 0) for a, b in shingle_sets(batch.column("text"), n, 2)]
-        lo, hi, size = zip(*rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(size, pa.int32())], ["doc_id", "lo", "hi", "n_shingles"])
+        rows = [(_class_of(a), _class_of(b, 1), len(a), sketch(a, num, den)) if len(a) else (0, 0, 0, None) for a, b in shingle_sets(batch.column("text"), n, 2)]
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "lo", "hi", "n_shingles", "sketch"])
 
 
 def _keyed(batches, n, num, den, bitmap):
@@ -266,15 +349,17 @@ def _searched(batches, num, den):
 def _linked(texts: DataFrame, n: int, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows' classes, classes with their least doc_id and number of rows, linked classes with the class at their component's root)."""
     bitmap = common_counters(texts, n)
-    classed = written(texts.mapInArrow(lambda it: _classed(it, n), CLASSED), "join-classes")
+    classed = written(texts.mapInArrow(lambda it: _classed(it, n, num, den), CLASSED), "join-classes")
     some = classed.filter("n_shingles > 0")
-    firsts = written(some.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows")), "join-firsts")
+    facts = [F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows"), F.first("sketch").alias("sketch")]
+    firsts = written(some.groupBy("lo", "hi").agg(*facts), "join-firsts")
 
-    # Ties: under each key, from every class to the least; equal sets share lo and fall together.
+    # Stars: under each key, every class goes to the least; equal sets share lo and fall together. In a star, what may link is connected.
     # Without the filter the aggregation and the join would each make an exchange of their own.
     tied = texts.mapInArrow(lambda it: _keyed(it, n, num, den, bitmap), "key long, lo long").filter("key is not null and lo is not null").repartition("key")
     least = tied.groupBy("key").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).filter("least < most").select("key", "least")
-    ties = tied.join(least, "key").filter("lo <> least").select(F.col("lo").alias("src"), F.col("least").alias("dst")).distinct()
+    stars = tied.join(least, "key").select("least", "lo").distinct().join(firsts.select("lo", "n_shingles", "sketch"), "lo")
+    ties = stars.repartition("least").sortWithinPartitions("least").mapInArrow(lambda it: _near(it, num, den), "src long, dst long")
     groups = connected_components(ties, "join-groups").select(F.col("node").alias("lo"), F.col("root").alias("grp"))
 
     # The sets of classes in groups, each once, cut into blocks where a group is large.

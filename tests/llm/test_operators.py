@@ -409,6 +409,49 @@ def test_ngram_join_of_repeated_and_null_ids(spark):
     assert got == [(0, 0, 0), (0, 97, 0), (0, 97, 2), (2, 97, 2), (5, 97, 2), (7, 97, 7), (7, 97, 7), (8, 97, 7), (9, 97, 7)]
 
 
+def test_shared_passages_tie_no_groups(spark, monkeypatch):
+    """Documents that share half their text with the next one share keys, but are no group to be searched; their near copies are."""
+    from strandloom.llm import ngram_join
+
+    placed, plain = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, tag: [out := plain(df, tag), placed.append(out.count()) if tag == "join-placed" else None][0])
+    passage = [[f"p{i}_{k}" for k in range(30)] for i in range(301)]
+    rows = [(i, " ".join([*passage[i], *passage[i + 1]])) for i in range(300)]
+    rows += [(300 + i, f"{rows[i][1]} end") for i in range(3)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard(table(spark, rows), 5, 80).collect()}
+    assert got == jaccard(rows, 5, 80, 100)
+    assert placed == [6]
+
+
+def test_forest_connects_all_that_link():
+    from strandloom.llm.ngram_join import forest, sketch
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (1, 2, 5, 9, 20, 60, 150, 151, 400, 3000):
+        base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for _ in range(6):
+            lost = rng.integers(0, size // 8 + 1)
+            sets.append(np.unique(np.concatenate([rng.permutation(base)[lost:], rng.integers(0, 1 << 63, rng.integers(0, size // 8 + 1), dtype=np.uint64)])))
+    order = rng.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    made = [(len(a), 8 * len(b), int.from_bytes(b, "little")) for a in sets for b in [sketch(a, 80, 100)]]
+
+    def components(edges):
+        root = list(range(len(sets)))
+        for p, q in edges:
+            root = [root[p] if r == root[q] else r for r in root]
+        return root
+
+    links = [(p, q) for p in range(len(sets)) for q in range(p) if 100 * len(np.intersect1d(sets[p], sets[q])) >= 80 * len(np.union1d(sets[p], sets[q]))]
+    root = components(forest(made, 80, 100))
+    assert len(links) > 80 and all(root[p] == root[q] for p, q in links) and len(set(root)) >= 9
+    for budget in (0, 100, 700):  # what the budget leaves uncompared is connected
+        root = components(forest(made, 80, 100, budget))
+        assert all(root[p] == root[q] for p, q in links)
+    assert len(set(components(forest(made, 80, 100, 0)))) == 1
+
+
 def test_t_occurrence_against_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 60, (6, 30))
